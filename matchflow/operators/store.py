@@ -223,7 +223,7 @@ class TableRules:
 
 
 def constraint_report(tables: Mapping[str, DataFrame], rules: Mapping[str, TableRules]) -> DataFrame:
-    """Violations as (table, rule, column, value, rows): one row per broken value.
+    """Violations as (table_name, rule, column_name, value, rows): one row per broken value.
 
     Row rules of a table (null, length, range) share one scan. Counts combine on the map side,
     so a value that breaks a rule millions of times still travels as one row per task.
@@ -232,9 +232,9 @@ def constraint_report(tables: Mapping[str, DataFrame], rules: Mapping[str, Table
 
     def report(df: DataFrame, table: str, rule: Column | str, column: Column | str) -> DataFrame:
         return df.select(
-            F.lit(table).alias("table"),
+            F.lit(table).alias("table_name"),
             (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"),
-            (F.lit(column) if isinstance(column, str) else column).alias("column"),
+            (F.lit(column) if isinstance(column, str) else column).alias("column_name"),
             "value",
             F.col("rows").cast("bigint").alias("rows"),
         )
@@ -271,15 +271,15 @@ def constraint_report(tables: Mapping[str, DataFrame], rules: Mapping[str, Table
 
 
 def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table, column, rows, nulls, null_rate): one aggregate per table, no rows moved."""
+    """(table_name, column_name, rows, nulls, null_rate): one aggregate per table, no rows moved."""
     parts = []
     for name, df in tables.items():
         sums = df.agg(F.count(F.lit(1)).alias("_rows"),
                       *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in df.columns])
-        parts.append(sums.select(F.lit(name).alias("table"), F.col("_rows").alias("rows"), F.inline(cells)))
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in df.columns])
+        parts.append(sums.select(F.lit(name).alias("table_name"), F.col("_rows").alias("rows"), F.inline(cells)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     rate = F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")).otherwise(F.lit(0.0))
-    return out.select("table", "column", "rows", "nulls", rate.alias("null_rate"))
+    return out.select("table_name", "column_name", "rows", "nulls", rate.alias("null_rate"))

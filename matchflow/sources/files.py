@@ -23,18 +23,18 @@ def scan_files(spark: SparkSession, path: str, types: tuple[str, ...] = FILE_TYP
                max_bytes: int = MAX_BYTES) -> DataFrame:
     """File inventory: path, size, extension, SHA-256 of the bytes and the reason of a refusal.
 
-    Bytes of refused files are not hashed. The content column ends here.
+    The bytes of refused files are never read: their part of the scan has no content column,
+    and the size limit is pushed into the other part.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     refused = gate(F.col("path"), F.col("length"), types, max_bytes)
-    return files.select(
-        "path",
-        "length",
-        "modificationTime",
-        F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"),
-        F.when(refused.isNull(), F.sha2("content", 256)).alias("file_hash"),
-        refused.alias("reason"),
-    )
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    head = [F.col("path"), F.col("length"), F.col("modificationTime"), extension.alias("extension")]
+    good = files.filter((F.col("length") <= max_bytes) & refused.isNull()).select(
+        *head, F.sha2("content", 256).alias("file_hash"), F.lit(None).cast("string").alias("reason"))
+    bad = files.filter(refused.isNotNull()).select(
+        *head, F.lit(None).cast("string").alias("file_hash"), refused.alias("reason"))
+    return good.unionByName(bad)
 
 
 def split_files(inventory: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
