@@ -201,6 +201,8 @@ SELECT 'orders' AS table_name, 'unique' AS rule, 'o_custkey|o_orderdate' AS colu
 FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1
 UNION ALL SELECT 'orders', 'max_length', 'o_orderpriority', length(o_orderpriority)::VARCHAR, count(*)
 FROM orders WHERE length(o_orderpriority) > 8 GROUP BY length(o_orderpriority)
+UNION ALL SELECT 'lineitem', 'unique', 'l_orderkey|l_linenumber', l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR, count(*)
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 UNION ALL SELECT 'lineitem', 'range', 'l_discount', l_discount::VARCHAR, count(*)
 FROM lineitem WHERE l_discount > 0.05 GROUP BY l_discount
 UNION ALL SELECT 'labels', 'foreign', 'doc_id', doc_id::VARCHAR, count(*)
