@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Row
@@ -57,15 +58,17 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\t-\r\x1c-\x20\x85\p{Z}]+"))
 
 
+def constant(value, layout: str) -> Column:
+    """A nested constant as one expression, folded to a literal when the query is planned."""
+    return F.from_json(F.lit(json.dumps(value)), layout)
+
+
 def strings(values: Iterable[str]) -> Column:
-    """Array literal; typed also when empty."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return constant(list(values), "array<string>")
 
 
 def lookup_map(values: Mapping[str, str]) -> Column:
-    if not values:
-        return F.lit(None).cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return constant(dict(values), "map<string,string>")
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:

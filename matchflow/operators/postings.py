@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import as_col, first_or_null, is_blank, let, non_blank, non_empty, strip
+from ..functions.columns import as_col, constant, first_or_null, is_blank, let, non_empty, strip
 from .pages import decode_entities, description_text, visible_text
 
 POSTING_FIELDS = ("job_title", "company", "location", "apply_url", "description",
@@ -139,69 +139,98 @@ def _page_nodes(html: Column) -> Column:
     tags = F.regexp_extract_all(c, F.lit(r"<[^>]*>"), F.lit(0))
     texts = F.transform(F.split(c, r"<[^>]*>", -1), lambda t: strip(decode_entities(t)))
     names = F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1)))
-    return F.struct(tags.alias("tags"), texts.alias("texts"), names.alias("names"))
+    return F.struct(html.alias("html"), tags.alias("tags"), texts.alias("texts"), names.alias("names"))
 
 
 def _end(page: Column, start: Column) -> Column:
     """Index of the closing tag of the element opened at ``start`` (nested same names counted)."""
-    name = page["names"][start]
-    later = F.slice(page["names"], start + 2, F.greatest(F.size(page["names"]) - start - 1, F.lit(0)))
-    walked = F.aggregate(
-        later,
-        F.struct(F.lit(1).alias("depth"), F.lit(0).alias("steps")),
-        lambda acc, n: F.when(acc["depth"] == 0, acc).otherwise(
-            F.struct(
-                (acc["depth"] + F.when(n == name, 1).when(n == F.concat(F.lit("/"), name), -1).otherwise(0))
-                .alias("depth"),
-                (acc["steps"] + 1).alias("steps"),
-            )
-        ),
-    )
-    return start + walked["steps"]
 
+    def walk(name: Column) -> Column:
+        closing = F.concat(F.lit("/"), name)
+        # +1 / -1 with the position, for tags of this name after the start
+        same = F.filter(
+            F.transform(page["names"], lambda n, i: F.when(i > start, F.when(n == name, i + 1).when(n == closing, -i - 1))),
+            lambda x: x.isNotNull(),
+        )
+        found = F.aggregate(
+            same,
+            F.struct(F.lit(1).alias("depth"), F.size(page["names"]).alias("end")),
+            lambda acc, x: F.when(acc["depth"] == 0, acc).otherwise(F.struct(
+                (acc["depth"] + F.signum(x).cast("int")).alias("depth"),
+                F.when((acc["depth"] == 1) & (x < 0), -x - 1).otherwise(acc["end"]).alias("end"))),
+        )
+        return found["end"]
 
-def _matches(page: Column, pattern: str) -> Column:
-    positions = F.transform(page["tags"], lambda t, i: F.when(t.rlike(pattern), i))
-    return F.array_compact(positions)
+    return let(page["names"][start], walk)
 
 
-def _element(page: Column, selector: str) -> Column:
-    """Index of the first tag a selector matches, null if none."""
+def _rule(selector: str, separator: str, longer_than: int) -> dict:
     *outer, inner = selector.split(" ")
-    hits = _matches(page, _tag_pattern(inner))
-    if not outer:
-        return first_or_null(hits)
-    boxes = F.transform(_matches(page, _tag_pattern(outer[0])),
+    return {
+        "inner": _tag_pattern(inner),
+        "outer": _tag_pattern(outer[0]) if outer else None,
+        "words": [a or b for a, b in re.findall(r'[.#]([\w-]+)|="([^"]*)"', selector)],
+        "separator": separator,
+        "longer_than": longer_than,
+    }
+
+
+_RULE = "struct<inner:string,outer:string,words:array<string>,separator:string,longer_than:int>"
+
+
+def _matches(page: Column, pattern: Column) -> Column:
+    hit = lambda t: F.call_function("regexp_extract", t, pattern, F.lit(0)) != ""
+    return F.array_compact(F.transform(page["tags"], lambda t, i: F.when(hit(t), i)))
+
+
+def _element(page: Column, rule: Column) -> Column:
+    """Index of the first tag a rule matches, null if none."""
+    boxes = F.transform(_matches(page, rule["outer"]),
                         lambda b: F.struct(b.alias("lo"), _end(page, b).alias("hi")))
-    return let(boxes, lambda bs: first_or_null(
-        F.filter(hits, lambda h: F.exists(bs, lambda b: (h > b["lo"]) & (h < b["hi"])))))
+    inside = lambda bs, h: F.exists(bs, lambda b: (h > b["lo"]) & (h < b["hi"]))
+    hits = _matches(page, rule["inner"])
+    return F.when(rule["outer"].isNull(), first_or_null(hits)).otherwise(
+        let(boxes, lambda bs: first_or_null(F.filter(hits, lambda h: inside(bs, h)))))
 
 
-def _text_of(page: Column, selector: str, separator: str) -> Column:
+def _text_of(page: Column, rule: Column) -> Column:
+    """Text of the first element of a rule, null unless it is long enough. A page without the
+    words of the selector is ruled out by a substring test."""
+
     def read(start: Column) -> Column:
         parts = F.slice(page["texts"], start + 2, _end(page, start) - start)
-        return F.array_join(F.filter(parts, lambda t: t != ""), separator)
+        return F.call_function("array_join", F.filter(parts, lambda t: t != ""), rule["separator"])
+
+    def text(start: Column) -> Column:
+        return let(F.when(start.isNotNull(), read(start)),
+                   lambda v: F.when(F.length(v) > rule["longer_than"], v))
 
-    return let(_element(page, selector), lambda i: F.when(i.isNotNull(), read(i)))
+    possible = F.forall(rule["words"], lambda w: F.contains(page["html"], w))
+    return F.when(possible, let(_element(page, rule), text))
 
 
 def selector_fields(html: Column | str, selectors=fixed.FIELD_SELECTORS,
                     min_description: int = 100) -> Column:
     """Struct of job_title, location, company and description by the first selector with text."""
-
-    def pick(page: Column) -> Column:
-        found = {}
-        for name, rules in selectors.items():
-            sep, least = ("\n", min_description) if name == "description" else ("", 0)
-            values = [_text_of(page, s, sep) for s in rules]
-            found[name] = F.coalesce(*[F.when(F.length(v) > least, v) for v in values])
-        title = _text_of(page, "title", "")
+    rules, spans = [_rule("title", "", 0)], {}
+    for name, listed in selectors.items():
+        sep, least = ("\n", min_description) if name == "description" else ("", 0)
+        spans[name] = (len(rules), len(listed))
+        rules += [_rule(s, sep, least) for s in listed]
+
+    def choose(texts: Column) -> Column:
+        found = {
+            name: first_or_null(F.array_compact(F.slice(texts, start + 1, n))) for name, (start, n) in spans.items()
+        }
+        title = texts[0]
         head = F.when(title.contains(" - "), strip(F.split_part(title, F.lit(" - "), F.lit(1)))).when(
             title.contains(" | "), strip(F.split_part(title, F.lit(" | "), F.lit(1))))
         found["job_title"] = F.coalesce(found["job_title"], head)
         return F.struct(*[found[n].alias(n) for n in selectors])
 
-    return let(_page_nodes(as_col(html)), pick)
+    listed = constant(rules, f"array<{_RULE}>")
+    return let(_page_nodes(as_col(html)),
+               lambda page: let(F.transform(listed, lambda r: _text_of(page, r)), choose))
 
 
 def selector_postings(pages: DataFrame, html: str = "html", key: str = "page_id",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import WORD_CHAR, as_col, bounded_rows, let, lookup_map, strings, strip
+from ..functions.columns import WORD_CHAR, as_col, bounded_rows, constant, let, lookup_map, strings, strip
 
 TECH, SOFT = "tech", "soft"
 DEFAULT_TAXONOMY = tuple((t, TECH) for t in fixed.TECH_SKILLS) + tuple((t, SOFT) for t in fixed.SOFT_SKILLS)
@@ -56,13 +56,12 @@ def skill_list(text: Column | str, taxonomy: Iterable[tuple[str, str]] | None =
                aliases: Mapping[str, str] = fixed.SKILL_ALIASES) -> Column:
     """Sorted distinct skills of a text. The distinct words of the text select candidate terms by
     their first word; only terms that are not a single word are then searched in the text."""
-    rules: dict[str, list[Column]] = {}
+    rules: dict[str, list[dict[str, str | None]]] = {}
     for term, kind in DEFAULT_TAXONOMY if taxonomy is None else taxonomy:
         lowered = term.lower()
         name = aliases.get(lowered.strip(), lowered.strip()) if kind == TECH else lowered
-        rule = F.struct(F.lit(name).alias("name"), F.lit(_pattern(lowered)).cast("string").alias("pattern"))
-        rules.setdefault(_WORD.search(lowered).group(), []).append(rule)
-    table = F.create_map(*[x for word, found in rules.items() for x in (F.lit(word), F.array(*found))])
+        rules.setdefault(_WORD.search(lowered).group(), []).append({"name": name, "pattern": _pattern(lowered)})
+    table = constant(rules, "map<string,array<struct<name:string,pattern:string>>>")
 
     def tag(lowered: Column) -> Column:
         distinct = F.array_distinct(F.regexp_extract_all(lowered, F.lit(WORD_CHAR + "+"), F.lit(0)))

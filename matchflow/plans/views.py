@@ -53,11 +53,12 @@ PROFILE_TEXT = (f"{HEAD} || ' WORK EXPERIENCE ' || {EXPERIENCE} || ' EDUCATION '
 FOUND_LOCATION = "CASE c_custkey % 3 WHEN 0 THEN 'Portland, OR' WHEN 1 THEN 'San Diego, CA' END"
 # Bullets end at the next bullet, so the last one runs into the heading of the next entry.
 FOUND_BULLET2 = f"{BULLET2} || ' ' || {COMPANY2} || ', Austin, TX ' || {TITLE2}"
-FOUND_SKILLS = ("CASE c_custkey % 5 WHEN 0 THEN 'docker, java, machine learning, python, sql' "
-                "WHEN 1 THEN 'java, kubernetes, problem solving, spring' "
-                "WHEN 2 THEN 'c++, communication, java, node, react' "
-                "WHEN 3 THEN 'java, pandas, project management, scikit-learn, spark' "
-                "ELSE '.net, asp.net, c#, java, teamwork' END")
+_SECTION_SKILLS = ("CASE c_custkey % 5 WHEN 0 THEN 'docker, java, machine learning, python, sql' "
+                   "WHEN 1 THEN 'java, kubernetes, problem solving, spring' "
+                   "WHEN 2 THEN 'c++, communication, java, node, react' "
+                   "WHEN 3 THEN 'java, pandas, project management, scikit-learn, spark' "
+                   "ELSE '.net, asp.net, c#, java, teamwork' END")
+FOUND_SKILLS = (f"array_to_string(list_sort(list_distinct(list_append(string_split({_SECTION_SKILLS}, ', '), lower({TECH2})))), ', ')")
 
 # --- one posting text per part ---------------------------------------------------------------------------
 

@@ -13,6 +13,21 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+STATIC_SETTINGS = {
+    # Recording the Python line of every column expression costs more than planning the query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def new_session(master: str | None = None, **conf: str) -> SparkSession:
+    """A session with all settings; ``conf`` keys use ``__`` for dots."""
+    builder = SparkSession.builder.appName("matchflow")
+    if master:
+        builder = builder.master(master)
+    named = {k.replace("__", "."): v for k, v in conf.items()}
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **named}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
