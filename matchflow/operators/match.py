@@ -159,7 +159,7 @@ def overall_score(section_scores: DataFrame, weights: Mapping[str, float] = fixe
         weight = F.lit(weights[kind]) + extra
         total = total + F.coalesce(F.col(kind) * weight, F.lit(0.0))
         used = used + F.when(F.col(kind).isNotNull(), weight).otherwise(F.lit(0.0))
-    score = F.coalesce(F.round(F.try_divide(total, used), 6), F.lit(0.0))
+    score = F.coalesce(F.round(F.try_divide(total, used), 9), F.lit(0.0))
     return means.select(*PAIR, score.alias("overall_score"))
 
 

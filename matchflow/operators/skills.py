@@ -130,17 +130,20 @@ def pair_up(pairs: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataF
     return pairs.join(postings, "posting_id").join(profiles, "profile_id")
 
 
-def gap(posting_skills: Column, profile_skills: Column,
-        aliases: Mapping[str, str] = fixed.SKILL_ALIASES,
-        classes: Mapping[str, Sequence[str]] = fixed.SKILL_CLASSES) -> Column:
-    """struct<matched, missing>: posting skills in their own spelling and order."""
+def skill_classes(skills: Column | str, aliases: Mapping[str, str] = fixed.SKILL_ALIASES,
+                  classes: Mapping[str, Sequence[str]] = fixed.SKILL_CLASSES) -> Column:
+    return F.transform(as_col(skills), lambda s: skill_class(s, aliases, classes))
 
-    def split(have: Column) -> Column:
-        hit = lambda s: F.array_contains(have, skill_class(s, aliases, classes))
-        return F.struct(F.filter(posting_skills, hit).alias("matched"),
-                        F.filter(posting_skills, lambda s: ~hit(s)).alias("missing"))
 
-    return let(F.transform(profile_skills, lambda s: skill_class(s, aliases, classes)), split)
+def gap(posting_skills: Column, posting_classes: Column, profile_classes: Column) -> Column:
+    """struct<matched, missing>: posting skills in their own spelling and order.
+
+    ``posting_classes`` has the class of each posting skill, in the same order. Classes are found
+    once per posting and once per profile, before the pairs multiply them.
+    """
+    known = lambda i: F.array_contains(profile_classes, posting_classes[i])
+    return F.struct(F.filter(posting_skills, lambda s, i: known(i)).alias("matched"),
+                    F.filter(posting_skills, lambda s, i: ~known(i)).alias("missing"))
 
 
 def coverage(matched: Column, missing: Column) -> Column:
@@ -154,17 +157,11 @@ def skill_gap(pairs: DataFrame, posting_skills: DataFrame, profile_skills: DataF
               classes: Mapping[str, Sequence[str]] = fixed.SKILL_CLASSES) -> DataFrame:
     """(posting_id, profile_id, matched, missing, coverage) for the given pairs.
 
-    Inputs: posting_skills(posting_id, skills) and profile_skills(profile_id, skills). Classes
-    are found once per posting and once per profile, before the pairs multiply them.
+    Inputs: posting_skills(posting_id, skills) and profile_skills(profile_id, skills).
     """
-    classed = lambda c: F.transform(c, lambda s: skill_class(s, aliases, classes))
-    left = posting_skills.select("posting_id", "skills", classed(F.col("skills")).alias("_pc"))
-    right = profile_skills.select("profile_id", F.array_distinct(classed(F.col("skills"))).alias("_have"))
+    left = posting_skills.select("posting_id", "skills", skill_classes("skills", aliases, classes).alias("_classes"))
+    right = profile_skills.select(
+        "profile_id", F.array_distinct(skill_classes("skills", aliases, classes)).alias("_have"))
     both = pair_up(pairs.select("posting_id", "profile_id"), left, right)
-    known = lambda s, i: F.array_contains(F.col("_have"), F.col("_pc")[i])
-    split = both.select(
-        "posting_id", "profile_id",
-        F.filter("skills", known).alias("matched"),
-        F.filter("skills", lambda s, i: ~known(s, i)).alias("missing"),
-    )
-    return split.withColumn("coverage", coverage(F.col("matched"), F.col("missing")))
+    split = both.select("posting_id", "profile_id", gap(F.col("skills"), F.col("_classes"), F.col("_have")).alias("g"))
+    return split.select("posting_id", "profile_id", "g.*").withColumn("coverage", coverage(F.col("matched"), F.col("missing")))

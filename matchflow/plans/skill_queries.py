@@ -26,12 +26,13 @@ def _tax_rows() -> str:
     return ", ".join(rows)
 
 
-_EDGE = r"[^\p{L}\p{N}_]"
-
-
 def _tags(key: str, text: str, source: str) -> str:
-    return (f"SELECT DISTINCT {key}, name, cls FROM ({source}), tax WHERE contains(lower({text}), term) "
-            f"AND regexp_matches(lower({text}), '(^|{_EDGE})' || regexp_escape(term) || '({_EDGE}|$)')")
+    """Terms with no word character on either side of one of their places in the text."""
+    edge = "NOT regexp_matches({}, '[\\p{{L}}\\p{{N}}_]')"
+    sides = f"{edge.format('right(x.pieces[i], 1)')} AND {edge.format('left(x.pieces[i + 1], 1)')}"
+    return (f"SELECT DISTINCT {key}, name, cls FROM (SELECT {key}, name, cls, string_split(lower({text}), term) AS pieces "
+            f"FROM ({source}), tax WHERE contains(lower({text}), term)) x "
+            f"WHERE len(list_filter(range(1, len(x.pieces)), lambda i: {sides})) > 0")
 
 
 def _ranked(source: str, key: str, text: str, stop) -> str:
