@@ -237,16 +237,16 @@ SELECT page_id,
 FROM pages
 """)
 def build_postings(spark, sf):
-    """Even pages carry structured data, odd ones classes; every third page also has an answer."""
+    """Even pages carry structured data, odd ones classes; the answers of every third page say something."""
     html = _pages(spark, sf).selectExpr("page_id", "url", f"{_BOTH_HTML} AS html")
-    third = table(spark, sf, "pages").filter("page_id % 3 = 0")
-    answers = third.select(
+    full = F.to_json(F.struct(
+        F.lit("Other title").alias("job_title"),
+        F.concat(F.lit("https://apply.example.org/"), F.col("page_id").cast("string")).alias("apply_url"),
+        F.array(F.struct(F.lit("About").alias("header"), F.array(F.repeat(F.lit("long text "), 20)).alias("content")))
+        .alias("description_sections")))
+    answers = table(spark, sf, "pages").select(
         F.col("page_id").alias("record_id"), F.lit(1).alias("pass"),
-        F.to_json(F.struct(
-            F.lit("Other title").alias("job_title"),
-            F.concat(F.lit("https://apply.example.org/"), F.col("page_id").cast("string")).alias("apply_url"),
-            F.array(F.struct(F.lit("About").alias("header"), F.array(F.repeat(F.lit("long text "), 20)).alias("content")))
-            .alias("description_sections"))).alias("json"))
+        F.when(F.col("page_id") % 3 == 0, full).otherwise("{}").alias("json"))
     made = postings.build_postings(html, postings.merge_passes(answers))
     return made.select("page_id", "job_title", "company", "location", "apply_url",
                        F.col("sources")["description"].alias("description_source"), "scrape_source")
