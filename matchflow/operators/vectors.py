@@ -172,7 +172,7 @@ class _Cells:
 def _upper(units: np.ndarray, pivots: np.ndarray, radius: dict[int, float]) -> tuple[list[int], np.ndarray]:
     """Upper bound of the similarity of each query to any member of each cell."""
     names = sorted(radius)
-    angles = _angles(units, pivots)
+    angles = _angles(units, pivots) if max(names) >= 0 else None
     out = np.zeros((len(units), len(names)))
     for j, cell in enumerate(names):
         if cell >= 0:
