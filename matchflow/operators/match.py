@@ -129,17 +129,19 @@ def fallback_candidates(postings: DataFrame, candidates: DataFrame, profiles: Da
 # --- scores -------------------------------------------------------------------------------------------
 
 
-def score_sections(candidates: DataFrame, section_vectors: DataFrame, posting_vectors: DataFrame) -> DataFrame:
+def score_sections(candidates: DataFrame, section_vectors: DataFrame, posting_vectors: DataFrame,
+                   keep_pairs: bool = False) -> DataFrame:
     """(posting_id, profile_id, section_type, section_index, score) for the sections of each
     candidate, score = cosine to the posting rounded to six decimals.
 
     Inputs: section_vectors(profile_id, section_type, section_index, embedding) and
     posting_vectors(posting_id, embedding); postings without a vector give nothing.
+    ``keep_pairs`` keeps a pair whose profile has no section, as one row of nulls.
     """
     left = posting_vectors.filter(F.col("embedding").isNotNull()).select(
         "posting_id", F.col("embedding").alias("_p"))
     right = section_vectors.select("profile_id", "section_type", "section_index", F.col("embedding").alias("_s"))
-    met = candidates.select(*PAIR).join(left, "posting_id").join(right, "profile_id")
+    met = candidates.select(*PAIR).join(left, "posting_id").join(right, "profile_id", "left" if keep_pairs else "inner")
     return met.select(*PAIR, "section_type", "section_index", F.round(dot(F.col("_p"), F.col("_s")), 6).alias("score"))
 
 
@@ -176,9 +178,8 @@ def ranked(overall: DataFrame, n: int) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, section_vectors: DataFrame, posting_vectors: DataFrame) -> DataFrame:
-    """Overall score of given pairs; a pair without any section scores 0."""
-    scored = overall_score(score_sections(pairs, section_vectors, posting_vectors))
-    return pairs.select(*PAIR).join(scored, PAIR, "left").fillna(0.0, ["overall_score"])
+    """Overall score of given pairs; a pair without any section scores 0. The pairs are read once."""
+    return overall_score(score_sections(pairs, section_vectors, posting_vectors, keep_pairs=True))
 
 
 def leaderboard(postings: DataFrame, profiles: DataFrame, section_vectors: DataFrame, n: int = 5,

@@ -51,8 +51,9 @@ def project_key_text(p: Column) -> Column:
 
 
 def cache_key(content: Column | str, posting: Column | str) -> Column:
-    head = F.substring(as_col(posting), 1, fixed.KEY_POSTING_CHARS)
-    return F.md5(F.concat(as_col(content), F.lit(fixed.KEY_SEPARATOR), head))
+    head = F.substring(F.coalesce(as_col(posting), F.lit("")), 1, fixed.KEY_POSTING_CHARS)
+    text = F.concat(F.coalesce(as_col(content), F.lit("")), F.lit(fixed.KEY_SEPARATOR), head)
+    return F.coalesce(F.md5(text), F.lit(""))  # never null, so joins on it need no null filter
 
 
 def _dashed(bullets: Column) -> Column:

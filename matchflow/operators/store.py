@@ -44,9 +44,13 @@ def lookup(df: DataFrame, keys: DataFrame, on: str | list[str], exists: bool = F
 def first_arrivals(batch: DataFrame, hash_col: str, order: Sequence[str]) -> DataFrame:
     """One narrow row per fingerprint: the first row's ``order`` columns and the group size.
 
-    A min over a struct combines on the map side, so a fingerprint holding a third of the batch
-    costs one row per task in the shuffle. The last ``order`` column must identify the row.
+    The minimum combines on the map side, so a fingerprint holding a third of the batch costs
+    one row per task in the shuffle. The last ``order`` column must identify the row; alone, it
+    is a plain minimum, which aggregates by hash instead of by sort.
     """
+    if len(order) == 1:
+        small = batch.groupBy(hash_col).agg(F.min(order[0]).alias("_id"), F.count(F.lit(1)).alias("n"))
+        return small.select(hash_col, F.struct(F.col("_id").alias(order[0])).alias("first"), "n")
     return batch.groupBy(hash_col).agg(
         F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("n")
     )

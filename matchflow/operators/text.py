@@ -116,8 +116,12 @@ def fill_from_gazetteer(df: DataFrame, orgs: DataFrame, places: DataFrame, key:
 
 
 def fingerprint(text: Column | str) -> Column:
-    """SHA-256 of the text in lower case without any whitespace."""
-    return F.sha2(F.regexp_replace(F.lower(as_col(text)), WS + "+", ""), 256)
+    """SHA-256 of the text in lower case without any whitespace; never null.
+
+    Saying so keeps joins on it from hashing every text once more to filter nulls.
+    """
+    plain = F.regexp_replace(F.lower(F.coalesce(as_col(text), F.lit(""))), WS + "+", "")
+    return F.coalesce(F.sha2(plain, 256), F.lit(""))
 
 
 def dup_groups(df: DataFrame, key: str, text: str) -> DataFrame:

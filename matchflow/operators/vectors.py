@@ -98,6 +98,7 @@ def cosine_pairs(pairs: DataFrame, a: str, b: str, out: str = "score") -> DataFr
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
+_BLOCKS = 10_000_000  # block numbers set aside per pivot
 _EPS = 2e-6
 
 
@@ -125,13 +126,14 @@ def _with_cells(vectors: DataFrame, key: str, column: str, pivots: np.ndarray) -
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             units = _unit(pdf[column].to_list())
-            angles = _angles(units, pivots) if len(pdf) else np.zeros((0, 1))
+            usable = len(pdf) and units.shape[1] == pivots.shape[1]
+            angles = _angles(units, pivots) if usable else np.zeros((len(pdf), 1))
             cell = angles.argmin(axis=1)
             yield pd.DataFrame({
                 key: pdf[key],
                 column: pdf[column],
                 "cell": np.where(units.any(axis=1), cell, -1).astype(np.int32),
-                "angle": angles.min(axis=1) if len(pdf) else [],
+                "angle": angles.min(axis=1),
             })
 
     return vectors.select(key, column).mapInPandas(
@@ -159,14 +161,30 @@ class _Cells:
     def blocks(self, cell: int) -> int:
         return int(np.ceil(self.sizes[cell] / self.block_rows))
 
-    def blocked(self, q_blocks: int) -> DataFrame:
-        """Vector rows with their block, repeated once per query block."""
+    def blocked(self) -> DataFrame:
+        """(v_id, v_vec, cell, block)"""
         count = F.create_map(*[F.lit(x) for c in self.sizes for x in (c, self.blocks(c))])
         return self.rows.select(
             F.col(self.key).alias("v_id"), F.col(self.column).alias("v_vec"), "cell",
-            F.pmod(F.xxhash64(self.key), count[F.col("cell")]).cast("int").alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"),
-        )
+            F.pmod(F.xxhash64(self.key), count[F.col("cell")]).cast("int").alias("block"))
+
+
+def _query_blocks(queries: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[DataFrame, list[int]]:
+    """(q_id, q_vec, q_block) and the block numbers.
+
+    Queries near the same pivot share blocks of bounded size, so a block needs few cells.
+    """
+    placed = _with_cells(queries, "q_id", "q_vec", pivots)
+    if len(pivots) > 1:
+        placed = settle(placed)
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    if not sizes:
+        return placed.select("q_id", "q_vec", F.lit(0).cast("bigint").alias("q_block")), []
+    blocks = {c: int(np.ceil(n / block_rows)) for c, n in sizes.items()}
+    count = F.create_map(*[F.lit(x) for c in blocks for x in (c, blocks[c])])
+    number = F.col("cell").cast("bigint") * _BLOCKS + F.pmod(F.xxhash64("q_id"), count[F.col("cell")])
+    listed = [c * _BLOCKS + i for c in blocks for i in range(blocks[c])]
+    return placed.select("q_id", "q_vec", number.alias("q_block")), listed
 
 
 def _upper(units: np.ndarray, pivots: np.ndarray, radius: dict[int, float]) -> tuple[list[int], np.ndarray]:
@@ -181,8 +199,8 @@ def _upper(units: np.ndarray, pivots: np.ndarray, radius: dict[int, float]) -> t
     return names, out
 
 
-def _probes(queries: DataFrame, cells: _Cells, q_blocks: int, choose) -> DataFrame:
-    """(q_id, q_vec, floor, cell, block, q_block): one row per block a query has to look into.
+def _probes(queries: DataFrame, cells: _Cells, choose) -> DataFrame:
+    """(q_id, q_vec, floor, q_block, cell, block): one row per block a query has to look into.
 
     ``choose(names, bounds, pdf)`` is a mask of the cells wanted per query.
     """
@@ -201,14 +219,23 @@ def _probes(queries: DataFrame, cells: _Cells, q_blocks: int, choose) -> DataFra
                 for b in range(blocks[cell] if len(hit) else 0):
                     yield hit.assign(cell=np.int32(cell), block=np.int32(b))
 
-    schema = f"q_id {kind}, q_vec array<float>, floor double, cell int, block int"
-    made = queries.select("q_id", "q_vec", "floor").mapInPandas(expand, schema)
-    return made.withColumn("q_block", F.pmod(F.xxhash64("q_id"), F.lit(q_blocks)).cast("int"))
+    schema = f"q_id {kind}, q_vec array<float>, floor double, q_block bigint, cell int, block int"
+    return queries.select("q_id", "q_vec", "floor", "q_block").mapInPandas(expand, schema)
+
 
+def _meet(probes: DataFrame, cells: _Cells, q_blocks: list[int], reduce, out_kind: str) -> DataFrame:
+    """Run ``reduce(queries, vectors, similarities)`` on every (cell, block, query block) in use.
 
-def _meet(probes: DataFrame, rows: DataFrame, reduce, out_kind: str) -> DataFrame:
-    """Run ``reduce(q_ids, v_ids, similarities)`` on every (cell, block, query block)."""
+    A vector is copied only to the query blocks that look into its cell.
+    """
     on = ["cell", "block", "q_block"]
+    if len(cells.sizes) == 1 and len(q_blocks) <= 64:
+        numbers = F.array(*[F.lit(b) for b in q_blocks]).cast("array<bigint>")
+        rows = cells.blocked().withColumn("q_block", F.explode(numbers))
+    else:
+        rows = cells.blocked().join(probes.select("cell", "q_block").distinct(), "cell")
+    # Own names on this side: the block numbers of both sides come from the same probes.
+    rows = rows.select("v_id", "v_vec", *[F.col(c).alias(f"v_{c}") for c in on])
 
     def work(_key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
@@ -216,7 +243,7 @@ def _meet(probes: DataFrame, rows: DataFrame, reduce, out_kind: str) -> DataFram
         sims = np.round(_unit(q["q_vec"].to_list()) @ _unit(v["v_vec"].to_list()).T, 6) + 0.0
         return reduce(q, v, sims)
 
-    return probes.groupBy(*on).cogroup(rows.groupBy(*on)).applyInPandas(work, out_kind)
+    return probes.groupBy(*on).cogroup(rows.groupBy(*[f"v_{c}" for c in on])).applyInPandas(work, out_kind)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "posting_id",
@@ -238,9 +265,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "postin
         return spark.createDataFrame([], f"{q_key} {q_kind}, {v_key} {v_kind}, similarity double, rank int")
     if cells.rows is None:  # only zero vectors: one cell of them
         cells = _zero_cells(cells, stored, v_key, v_vec)
-    q_blocks = int(max(1, np.ceil(named.count() / block_rows)))
+    blocked, q_blocks = _query_blocks(named, cells.pivots, block_rows)
     need = k + (1 if exclude_self else 0)
-    rows = cells.blocked(q_blocks)
 
     def top(q: pd.DataFrame, v: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
         if not sims.size:
@@ -256,8 +282,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "postin
         return pd.DataFrame({"q_id": rows_q[hit], "v_id": flat_v[hit], "similarity": flat_s[hit]})
 
     home = _home(cells.sizes, need)
-    start = named.withColumn("floor", F.lit(-2.0))
-    found = _meet(_probes(start, cells, q_blocks, home), rows, top, shape)
+    start = blocked.withColumn("floor", F.lit(-2.0))
+    found = _meet(_probes(start, cells, home), cells, q_blocks, top, shape)
     if len(cells.sizes) > 1:
         found = settle(found)
         by_score = W.partitionBy("q_id").orderBy(F.desc("similarity"))
@@ -265,13 +291,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "postin
             found.withColumn("i", F.row_number().over(by_score)).filter(F.col("i") <= need)
             .groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= need, F.min("similarity")).otherwise(F.lit(-2.0)).alias("floor"))
         )
-        again = named.join(floors, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        again = blocked.join(floors, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
 
         def others(names, upper, pdf):
             possible = upper >= pdf["floor"].to_numpy()[:, None] - _EPS
             return possible & ~home(names, upper, pdf)
 
-        found = found.unionByName(_meet(_probes(again, cells, q_blocks, others), rows, top, shape))
+        found = found.unionByName(_meet(_probes(again, cells, others), cells, q_blocks, top, shape))
     if exclude_self:
         found = found.filter(F.col("q_id") != F.col("v_id"))
     order = W.partitionBy("q_id").orderBy(F.desc("similarity"), "v_id")
@@ -315,8 +341,9 @@ def near_dups(vectors: DataFrame, threshold: float, key: str = "vec_id", column:
         cells = _zero_cells(cells, reps, key, column)
     if not sum(cells.sizes.values()):
         return vectors.select(key, F.col(key).alias("keeper"))
-    queries = reps.select(F.col(key).alias("q_id"), F.col(column).alias("q_vec"), F.lit(threshold).alias("floor"))
-    q_blocks = int(max(1, np.ceil(sum(cells.sizes.values()) / block_rows)))
+    named = reps.select(F.col(key).alias("q_id"), F.col(column).alias("q_vec"))
+    blocked, q_blocks = _query_blocks(named, cells.pivots, block_rows)
+    queries = blocked.withColumn("floor", F.lit(threshold))
 
     def possible(_names, upper, _pdf):
         return upper >= threshold - _EPS
@@ -330,8 +357,7 @@ def near_dups(vectors: DataFrame, threshold: float, key: str = "vec_id", column:
         hit = close.any(axis=1)
         return pd.DataFrame({"q_id": q["q_id"].to_numpy()[hit], "keeper": ids[order][close.argmax(axis=1)][hit]})
 
-    met = _meet(_probes(queries, cells, q_blocks, possible), cells.blocked(q_blocks), lowest,
-                f"q_id {kind}, keeper {kind}")
+    met = _meet(_probes(queries, cells, possible), cells, q_blocks, lowest, f"q_id {kind}, keeper {kind}")
     best = met.groupBy(F.col("q_id").alias(key)).agg(F.min("keeper").alias("_close"))
     per_vector = reps.join(best, key, "left").select(
         F.col(column).alias("_v"), F.least(F.col(key), F.col("_close")).alias("keeper"))
