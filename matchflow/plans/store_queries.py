@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,7 +103,7 @@ def ingest_stream_documents(spark, sf):
     arrivals = (
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     )
-    root = f"{checkpoint_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
     ingest_stream(arrivals.select("doc_id", "text"), f"{root}/store", f"{root}/state", "text", ["doc_id"]).awaitTermination()
     return stored_rows(spark, f"{root}/store").select("fingerprint", "doc_id")
 

@@ -48,9 +48,6 @@ def _sql_ladder(text: str, patterns) -> str:
     return "coalesce(" + ", ".join(values) + ")"
 
 
-_FIELDS = ", ".join(f"{_sql_ladder('{0}', p)} AS {n}" for n, p in fixed.POSTING_LADDER.items()).replace("{3,}", "{{3,}}")
-
-
 def _sql_fields(text: str) -> str:
     return ", ".join(f"{_sql_ladder(text, p)} AS {n}" for n, p in fixed.POSTING_LADDER.items())
 
@@ -257,11 +254,6 @@ def _rewrites(spark, sf):
         "'- Order ' || CAST(o_orderkey AS STRING) || '\\n\\n* ' || o_orderpriority || ' ' AS new_text")
 
 
-def _rewritten(kind: str, index: int) -> str:
-    return (f"(SELECT 'Order ' || arg_max(o_orderkey, o_orderkey) || ' / ' || arg_max(o_orderpriority, o_orderkey) FROM orders "
-            f"WHERE o_custkey = c_custkey AND o_orderkey % 4 = {kind} AND o_orderkey % 3 = {index})")
-
-
 @query(f"""
 WITH o AS (SELECT o_custkey, o_orderkey % 4 AS kind, o_orderkey % 3 AS i, max(o_orderkey) AS k, arg_max(o_orderpriority, o_orderkey) AS p
            FROM orders GROUP BY ALL),
