@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import WORD_CHAR, WS, as_col, squeeze, strip
+from ..functions.columns import WORD_CHAR, WS, as_col, let, squeeze, strip
 
 # --- boilerplate -----------------------------------------------------------------------------------
 
@@ -86,12 +86,15 @@ def first_mentions(docs: DataFrame, names: DataFrame, key: str, text: str, name:
     """
     body = F.col(text) if chars is None else F.substring(text, 1, chars)
     tokens = F.regexp_extract_all(F.lower(body), F.lit(WORD_CHAR + "+"), F.lit(0))
-    listed = docs.select(key, F.posexplode(tokens).alias("pos", "w"), tokens.alias("ws"))
-    sizes = F.sequence(F.lit(1), F.lit(max_words))
-    grams = listed.select(
-        key, "pos", F.explode(F.transform(
-            F.filter(sizes, lambda n: F.col("pos") + n <= F.size("ws")),
-            lambda n: F.array_join(F.slice(F.col("ws"), F.col("pos") + 1, n), " "))).alias("phrase"))
+
+    def phrases(ws: Column) -> Column:
+        """Phrases of one to ``max_words`` words with the place of their first word."""
+        lengths = F.filter(F.sequence(F.lit(1), F.lit(max_words)), lambda n: n <= F.size(ws))
+        return F.flatten(F.transform(lengths, lambda n: F.transform(
+            F.sequence(F.lit(0), F.size(ws) - n),
+            lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(ws, i + 1, n), " ").alias("phrase")))))
+
+    grams = docs.select(key, F.inline(let(tokens, phrases)))
     first = grams.groupBy(key, "phrase").agg(F.min("pos").alias("pos"))
     phrase = F.array_join(F.regexp_extract_all(F.lower(name), F.lit(WORD_CHAR + "+"), F.lit(0)), " ")
     known = names.select(F.col(name).alias("name"), phrase.alias("phrase")).groupBy("phrase").agg(
