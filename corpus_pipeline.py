@@ -3,19 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from matchflow.llm import packing
+from matchflow.llm import language, minhash, packing, quality
 from matchflow.llm.common import stored
 from matchflow.plans.views import table
 
+#: Documents whose language is less certain than that go.
+LEAST_CERTAIN = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages; those without a letter or with an uncertain language go."""
+    found = language.predicted(docs, language.fit(docs))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality, as the labels mark it; the others go."""
+    vectors = quality.word_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    rows = stored(quality.featured(docs, vectors), "features")
+    net = quality.fit(rows, table(spark, sf_dir, "labels"))
+    return quality.scored(rows, net).where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; rows that share id and text are one document."""
+    kept = minhash.near_copies(docs, words=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as pieces in sequences of at most 4096 tokens."""
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("best-fit packing", pack)]
-#: No stage can be said in SQL: two trained models, minhash groups and packing; see tests/llm.
+STAGES = [
+    ("language ID", identify_language),
+    ("quality classifier", classify_quality),
+    ("minhash near-dedup", drop_near_copies),
+    ("best-fit packing", pack),
+]
+#: No stage can be said in SQL: two trained models, minhash groups and packing. tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

@@ -289,7 +289,7 @@ def pack_blocks(items: DataFrame, size: int, islands: int = 2, epochs: int = 2,
     schema = "block BIGINT, island INT, place INT, bins BIGINT, score DOUBLE, packing BINARY"
     spread = items.select("uid", "block", "length").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
 
-    def island(key, table: pa.Table, before: pa.Table | None, epoch: int) -> pa.Table:
+    def island(key, table, before, epoch: int) -> pa.Table:
         table = table.sort_by("uid")
         lengths = table.column("length").to_pylist()
         rng = np.random.default_rng([int(key[0].as_py()), int(key[1].as_py()), epoch])
@@ -319,7 +319,7 @@ def pack_blocks(items: DataFrame, size: int, islands: int = 2, epochs: int = 2,
     best = people_df.where("place = 0").groupBy("block").agg(
         F.max_by("packing", F.struct(-F.col("bins"), "score", -F.col("island"))).alias("packing"))
 
-    def place(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def place(key, left, right):
         left = left.sort_by("uid")
         lengths = left.column("length").to_numpy()
         where = np.frombuffer(right.column("packing")[0].as_py(), "<i4")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..plans.views import table
-from . import packing, pieces, tokens
-from .common import shared_path
+from . import forest, language, licences, minhash, near_vectors, packing, pieces, quality, sharding, tokens
+from .common import shared_path, stored
 
 
 @query()
@@ -30,3 +31,73 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """All documents encoded with begin and end ids, and decoded again."""
     return pieces.digests(pieces.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query()
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs)
+    return language.predicted(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(language.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are alike to 80 percent."""
+    return minhash.near_copies(table(spark, folder, "documents"), words=4)
+
+
+@query()
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vectors = quality.word_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    rows = stored(quality.featured(docs, vectors).select("doc_id", "features"), "features")
+    net = quality.fit(rows, table(spark, folder, "labels"))
+    return quality.scored(rows, net).select(
+        "doc_id", F.coalesce(language.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight runs of a Hilbert curve."""
+    return sharding.shards(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "cell")
+
+
+@query()
+def op8_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query()
+def op3_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of at least 0.9."""
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licences.NOTICES.items()))
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_SHINGLES = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+
+
+@query(f"""
+WITH notice AS (SELECT license_id, list_distinct({_SHINGLES}) AS wanted
+                FROM (SELECT license_id, {_WORDS} AS w FROM (VALUES {_NOTICES}) AS t(license_id, text)) WHERE len(w) >= 5),
+     wanted AS (SELECT license_id, len(wanted) AS t, CAST(greatest(1, power(2, ceil(log2(len(wanted) / 2.0)))) AS BIGINT) AS block,
+                       unnest(wanted) AS shingle FROM notice),
+     sh AS (SELECT doc_id, unnest({_SHINGLES}) AS shingle, unnest(range(0, len(w) - 4)) AS pos
+            FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
+     hit AS (SELECT doc_id, license_id, t, shingle, (pos // block - back) * block AS position
+             FROM sh JOIN wanted USING (shingle), (VALUES (0), (1), (2)) AS b(back) WHERE pos // block >= back),
+     win AS (SELECT doc_id, license_id, position, count(DISTINCT shingle) / any_value(t) AS containment FROM hit GROUP BY ALL)
+SELECT doc_id, license_id, max(containment) AS containment,
+       arg_min(position, (-containment, position)) AS position
+FROM win WHERE containment >= 0.8 GROUP BY doc_id, license_id
+""")
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licences.matches(table(spark, folder, "documents"), licences.notices(spark))
