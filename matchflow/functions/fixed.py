@@ -156,6 +156,20 @@ PLATFORM_RULES = (
 )
 
 # entity, character: in the order they are decoded
+# Tags that have no content and no closing tag.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+# Named characters beyond those of TEXT_ENTITIES that selected texts may hold.
+NAMED_CHARACTERS = (
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+    ("&bull;", "•"), ("&middot;", "·"), ("&hellip;", "…"), ("&euro;", "€"), ("&pound;", "£"), ("&copy;", "©"),
+    ("&reg;", "®"), ("&trade;", "™"), ("&deg;", "°"), ("&agrave;", "à"), ("&aacute;", "á"), ("&acirc;", "â"),
+    ("&atilde;", "ã"), ("&auml;", "ä"), ("&aring;", "å"), ("&aelig;", "æ"), ("&ccedil;", "ç"), ("&egrave;", "è"),
+    ("&eacute;", "é"), ("&ecirc;", "ê"), ("&euml;", "ë"), ("&igrave;", "ì"), ("&iacute;", "í"), ("&icirc;", "î"),
+    ("&iuml;", "ï"), ("&ntilde;", "ñ"), ("&ograve;", "ò"), ("&oacute;", "ó"), ("&ocirc;", "ô"), ("&otilde;", "õ"),
+    ("&ouml;", "ö"), ("&oslash;", "ø"), ("&ugrave;", "ù"), ("&uacute;", "ú"), ("&ucirc;", "û"), ("&uuml;", "ü"),
+    ("&szlig;", "ß"), ("&Agrave;", "À"), ("&Aacute;", "Á"), ("&Auml;", "Ä"), ("&Ccedil;", "Ç"), ("&Egrave;", "È"),
+    ("&Eacute;", "É"), ("&Ntilde;", "Ñ"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"),
+)
 TEXT_ENTITIES = (
     ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
     ("&#39;", "'"), ("&apos;", "'"),
@@ -244,7 +258,9 @@ JOB_TITLE = (
     r"Specialist|Administrator|Designer|Intern|Coordinator|Lead|Superintendent|Supervisor|"
     r"Vice President|VP|CEO|CTO|CFO|COO))\b"
 )
-COMPANY_PLACE = r"(?i)([A-Za-z][A-Za-z\s&\.\-]+?),\s*(?:[A-Za-z\s]+,\s*)?([A-Z]{2})\s"
+# Runs are entered at their first letter only: where that fails, so would every later start in the run.
+COMPANY_LEAD = r"(?i)(?<![A-Z][\s&]{0,40})([A-Z][A-Za-z\s&]+?)"
+COMPANY_PLACE = r"(?i)(?<![A-Za-z][\s&\.\-]{0,40})([A-Za-z][A-Za-z\s&\.\-]+?),\s*(?:[A-Za-z\s]+,\s*)?([A-Z]{2})\s"
 BULLET = r"[•\-\*]\s*(.+?)(?=[•\-\*]|$)"
 INSTITUTION = (
     r"(?i)\b((?:Oregon State|Northeastern|Stanford|MIT|Harvard|Yale|Berkeley|UCLA|USC|NYU|"
@@ -254,11 +270,15 @@ INSTITUTION = (
     r"Rutgers|Indiana|Iowa State|Colorado|Tennessee|Kentucky|Alabama|LSU|"
     r"Notre Dame|Georgetown|Brown|Dartmouth|Vanderbilt|Rice|Emory)\s+"
     r"(?:University|College|Institute)|"
-    r"University\s+of\s+[A-Z][a-z]+(?:\s+[A-Za-z]+)*|"
+    r"University\s+of\s+[A-Z][a-z]+\b(?:\s+[A-Za-z]+\b)*+|"
     r"[A-Z][a-z]+\s+State\s+University|"
-    r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:College|Institute|Technical Institute))\b"
+    r"(?:(?<![A-Z]{2}\s)|(?<=(?:University|College|Institute)\s))"
+    r"[A-Z][a-z]+\b(?:(?:\s+(?!(?:College|Institute)\b)[A-Z][a-z]+\b)*+\s+(?:College|Institute)\b)++)\b"
+)
+ANY_UNIVERSITY = (
+    r"\b(?:(?<!\b[A-Z][a-z]{1,30}\s)|(?<=\bUniversity\s))"
+    r"([A-Z][a-z]+\b(?:(?:\s+(?!University\b)[A-Z][a-z]+\b)*+\s+University\b)++)"
 )
-ANY_UNIVERSITY = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+University)\b"
 NOT_INSTITUTIONS = (
     "bachelor", "master", "education", "science", "arts", "engineering",
     "computer", "data", "business", "management", "associate", "doctor",
@@ -273,7 +293,7 @@ FIELD_OF_STUDY = (
 )
 GPA = r"(?i)GPA[:\s]*([0-4]\.[0-9]{1,2})"
 EDUCATION_DATE = rf"(?i)(?:Expected\s+)?{MONTH}\s+\d{{4}}|\b\d{{4}}\b"
-PROJECT_HEAD = r"(?i)([A-Z][A-Za-z0-9\s\-]+?)[\s]*\(([^)]+)\)[:\s]*"
+PROJECT_HEAD = r"(?i)(?<![A-Z][0-9\s\-]{0,40})([A-Z][A-Za-z0-9\s\-]+?)[\s]*\(([^)]+)\)[:\s]*"
 SUMMARY_TEXT = r"(?is)(?:summary|objective|profile|about\s*me)[:\s]*(.+?)(?=\n\n|experience|education|skills)"
 NUMBERS = r"\d+%|\$\d+|\d+ (years?|months?|projects?)"
 

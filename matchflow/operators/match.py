@@ -15,7 +15,6 @@ from .store import recent
 from .vectors import BLOCK_ROWS, nearest
 
 PAIR = ["posting_id", "profile_id"]
-MAX_FALLBACK = 1000
 
 # --- section texts --------------------------------------------------------------------------------
 
@@ -115,15 +114,12 @@ def fallback_candidates(postings: DataFrame, candidates: DataFrame, profiles: Da
                         ts: str = "created_at", key: str = "profile_id") -> DataFrame:
     """Postings without any candidate get the ``k`` newest profiles with similarity 0.
 
-    Those are the same few profiles for every posting: at most ``MAX_FALLBACK`` ids travel to
-    the driver and into the scan of the postings.
+    Those are the same few profiles for every posting: the ``k`` ids are one array, a scalar
+    subquery in the scan of the postings.
     """
-    if k > MAX_FALLBACK:
-        raise ValueError(f"at most {MAX_FALLBACK} fallback profiles")
-    newest = [r[key] for r in recent(profiles, ts, key, k, [key, ts]).collect()]
+    newest = recent(profiles, ts, key, k, [key, ts]).agg(F.array_sort(F.collect_list(key)))
     lonely = postings.select("posting_id").join(candidates.select("posting_id"), "posting_id", "left_anti")
-    ids = F.array(*[F.lit(i) for i in newest]).cast("array<bigint>")
-    return lonely.select("posting_id", F.explode(ids).alias("profile_id"), F.lit(0.0).alias("similarity"))
+    return lonely.withColumn("_ids", newest.scalar()).select("posting_id", F.explode("_ids").alias("profile_id"), F.lit(0.0).alias("similarity"))
 
 
 # --- scores -------------------------------------------------------------------------------------------
@@ -155,14 +151,18 @@ def overall_score(section_scores: DataFrame, weights: Mapping[str, float] = fixe
     kinds = list(weights)
     means = section_scores.groupBy(*PAIR).agg(
         *[F.avg(F.when(F.col("section_type") == kind, F.col("score"))).alias(kind) for kind in kinds])
+    return means.select(*PAIR, _weighted(weights, shares).alias("overall_score"))
+
+
+def _weighted(weights: Mapping[str, float], shares: Mapping[str, float]) -> Column:
+    """Weighted mean of the columns named like the section types, null where a type is missing."""
     total, used = F.lit(0.0), F.lit(0.0)
-    for kind in kinds:
+    for kind in weights:
         extra = F.when(F.col("summary").isNull(), F.lit(weights["summary"] * shares.get(kind, 0.0))).otherwise(F.lit(0.0))
         weight = F.lit(weights[kind]) + extra
         total = total + F.coalesce(F.col(kind) * weight, F.lit(0.0))
         used = used + F.when(F.col(kind).isNotNull(), weight).otherwise(F.lit(0.0))
-    score = F.coalesce(F.round(F.try_divide(total, used), 9), F.lit(0.0))
-    return means.select(*PAIR, score.alias("overall_score"))
+    return F.coalesce(F.round(F.try_divide(total, used), 9), F.lit(0.0))
 
 
 def weak_sections(section_scores: DataFrame, threshold: float = fixed.WEAK) -> DataFrame:
@@ -177,9 +177,27 @@ def ranked(overall: DataFrame, n: int) -> DataFrame:
     return overall.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def score_pairs(pairs: DataFrame, section_vectors: DataFrame, posting_vectors: DataFrame) -> DataFrame:
-    """Overall score of given pairs; a pair without any section scores 0. The pairs are read once."""
-    return overall_score(score_sections(pairs, section_vectors, posting_vectors, keep_pairs=True))
+def score_pairs(pairs: DataFrame, section_vectors: DataFrame, posting_vectors: DataFrame,
+                weights: Mapping[str, float] = fixed.SECTION_WEIGHTS,
+                shares: Mapping[str, float] = fixed.SUMMARY_SHARES) -> DataFrame:
+    """Overall score of given pairs; a pair without any section scores 0. Pairs must be distinct.
+
+    A profile's sections are one array, bounded by its sections. A pair meets both sides once and
+    is scored inside its row: nothing is grouped behind the join, so a profile in very many pairs
+    can be split over tasks by the adaptive skew join.
+    """
+    left = posting_vectors.filter(F.col("embedding").isNotNull()).select("posting_id", F.col("embedding").alias("_p"))
+    right = section_vectors.groupBy("profile_id").agg(
+        F.collect_list(F.struct("section_type", "embedding")).alias("_sections"))
+    met = pairs.select(*PAIR).join(left, "posting_id").join(right, "profile_id", "left")
+
+    def mean_of(kind: str) -> Column:
+        own = F.filter("_sections", lambda s: (s["section_type"] == kind) & s["embedding"].isNotNull())
+        scores = F.transform(own, lambda s: F.round(dot(F.col("_p"), s["embedding"]), 6))
+        return F.try_divide(F.aggregate(scores, F.lit(0.0), lambda total, x: total + x), F.size(scores))
+
+    means = met.select(*PAIR, *[mean_of(kind).alias(kind) for kind in weights])
+    return means.select(*PAIR, _weighted(weights, shares).alias("overall_score"))
 
 
 def leaderboard(postings: DataFrame, profiles: DataFrame, section_vectors: DataFrame, n: int = 5,

@@ -162,6 +162,23 @@ def decode_entities(c: Column, entities=fixed.TEXT_ENTITIES) -> Column:
     return c
 
 
+def decode_characters(c: Column) -> Column:
+    """Named and numbered characters (``&eacute;``, ``&#8211;``, ``&#x2013;``); others stay as they are."""
+
+    def numbered(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
+        code = F.when(digits.startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("bigint")
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when((digits != "") & real, F.concat(char, F.substr(piece, F.length(digits) + 2))).otherwise(F.concat(F.lit("&#"), piece))
+
+    pieces = F.split(c, "&#", -1)
+    named = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(numbered(p))), "")
+    for entity, char in fixed.NAMED_CHARACTERS:
+        named = F.replace(named, F.lit(entity), F.lit(char))
+    return decode_entities(F.when(c.contains("&"), named).otherwise(c))
+
+
 def visible_text(html: Column | str) -> Column:
     """Readable text of a page: no scripts or styles, block tags as line breaks."""
     c = F.coalesce(as_col(html), F.lit(""))
@@ -175,9 +192,9 @@ def visible_text(html: Column | str) -> Column:
     return strip(c)
 
 
-def cleaned_html(html: Column | str, max_chars: int | None = 12000) -> Column:
+def cleaned_html(html: Column | str, max_chars: int | None = None) -> Column:
     """Markup without scripts, styles, comments, icons, handlers, data attributes and empty
-    elements; cut at ``max_chars`` with a marker (None keeps all of it)."""
+    elements; cut at ``max_chars`` (say 12000) with a marker."""
     c = F.coalesce(as_col(html), F.lit(""))
     for tag in ("script", "style", "noscript"):
         c = F.regexp_replace(c, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
@@ -199,7 +216,7 @@ def description_text(c: Column) -> Column:
     return visible_text(decode_entities(c, fixed.DESCRIPTION_ENTITIES))
 
 
-def pages_to_text(pages: DataFrame, html: str = "html", max_chars: int | None = 12000) -> DataFrame:
+def pages_to_text(pages: DataFrame, html: str = "html", max_chars: int | None = None) -> DataFrame:
     return pages.withColumn("text", visible_text(html)).withColumn("clean_html", cleaned_html(html, max_chars))
 
 

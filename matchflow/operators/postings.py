@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import as_col, constant, first_or_null, is_blank, let, non_empty, strip
-from .pages import decode_entities, description_text, visible_text
+from .pages import decode_characters, description_text, visible_text
 
 POSTING_FIELDS = ("job_title", "company", "location", "apply_url", "description",
                   "date_posted", "employment_type", "salary_range")
@@ -109,11 +109,12 @@ def jsonld_postings(pages: DataFrame, html: str = "html", key: str = "page_id")
 
 # --- selectors -----------------------------------------------------------------------------------------
 
-_QUOTED = """(?:"{0}"|'{1}')"""
+_QUOTED = """(?:"{0}"|'{1}'|{2}(?=[\\s/>]))"""
 
 
-def _attr(name: str, dq: str, sq: str) -> str:
-    return rf"(?=[^>]*\s(?i:{name})\s*=\s*" + _QUOTED.format(dq, sq) + ")"
+def _attr(name: str, dq: str, sq: str, bare: str) -> str:
+    """An attribute's value in double quotes, single quotes or none."""
+    return rf"(?=[^>]*\s(?i:{name})\s*=\s*" + _QUOTED.format(dq, sq, bare) + ")"
 
 
 def _tag_pattern(simple: str) -> str:
@@ -123,13 +124,13 @@ def _tag_pattern(simple: str) -> str:
     out = "^<" + name
     for cls in re.findall(r"\.([\w-]+)", re.sub(r"\[[^\]]*\]", "", simple)):
         word = re.escape(cls)
-        out += _attr("class", rf'(?:[^"]*\s)?{word}(?:\s[^"]*)?', rf"(?:[^']*\s)?{word}(?:\s[^']*)?")
+        out += _attr("class", rf'(?:[^"]*\s)?{word}(?:\s[^"]*)?', rf"(?:[^']*\s)?{word}(?:\s[^']*)?", word)
     for ident in re.findall(r"#([\w-]+)", simple):
-        out += _attr("id", re.escape(ident), re.escape(ident))
+        out += _attr("id", re.escape(ident), re.escape(ident), re.escape(ident))
     for attr, op, value in re.findall(r'\[([\w-]+)(\*?=)"([^"]*)"\]', simple):
         word = re.escape(value)
-        any_dq, any_sq = ('[^"]*', "[^']*") if op == "*=" else ("", "")
-        out += _attr(attr, any_dq + word + any_dq, any_sq + word + any_sq)
+        any_dq, any_sq, any_bare = ('[^"]*', "[^']*", "[^\\s\"'>]*") if op == "*=" else ("", "", "")
+        out += _attr(attr, any_dq + word + any_dq, any_sq + word + any_sq, any_bare + word + any_bare)
     return out
 
 
@@ -137,7 +138,7 @@ def _page_nodes(html: Column) -> Column:
     """Tags and the text between them, aligned: ``texts[i + 1]`` follows ``tags[i]``."""
     c = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>|<!--.*?-->", "")
     tags = F.regexp_extract_all(c, F.lit(r"<[^>]*>"), F.lit(0))
-    texts = F.transform(F.split(c, r"<[^>]*>", -1), lambda t: strip(decode_entities(t)))
+    texts = F.transform(F.split(c, r"<[^>]*>", -1), lambda t: strip(decode_characters(t)))
     names = F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1)))
     return F.struct(html.alias("html"), tags.alias("tags"), texts.alias("texts"), names.alias("names"))
 
@@ -161,7 +162,8 @@ def _end(page: Column, start: Column) -> Column:
         )
         return found["end"]
 
-    return let(page["names"][start], walk)
+    empty = page["names"][start].isin(*fixed.VOID_TAGS) | page["tags"][start].endswith("/>")
+    return F.when(empty, start).otherwise(let(page["names"][start], walk))
 
 
 def _rule(selector: str, separator: str, longer_than: int) -> dict:
@@ -275,12 +277,21 @@ def merged_fields(first: Column, second: Column) -> Column:
     return F.map_concat(kept, over)
 
 
-def merge_passes(answers: DataFrame, key: str = "record_id", json: str = "json") -> DataFrame:
-    """One row per record with the merged answer of passes 1 and 2; no first pass, no answer."""
-    per_pass = answers.groupBy(key).agg(
-        F.max(F.when(F.col("pass") == 1, F.col(json))).alias("p1"),
-        F.max(F.when(F.col("pass") == 2, F.col(json))).alias("p2"),
-    )
+def last_answer(number: int, json: str, order: str | None) -> Column:
+    """A record's answer of one pass: of several the last by ``order``, else the greatest text."""
+    own = F.when(F.col("pass") == number, F.col(json))
+    if order is None:
+        return F.max(own)
+    return F.max_by(own, F.when(own.isNotNull(), F.struct(F.col(order), own)))
+
+
+def merge_passes(answers: DataFrame, key: str = "record_id", json: str = "json",
+                 order: str | None = None) -> DataFrame:
+    """One row per record with the merged answer of passes 1 and 2; no first pass, no answer.
+
+    ``order`` names the column by which the last of several answers of one pass is found.
+    """
+    per_pass = answers.groupBy(key).agg(last_answer(1, json, order).alias("p1"), last_answer(2, json, order).alias("p2"))
     merged = merged_fields(answer_fields("p1"), answer_fields("p2"))
     return per_pass.select(key, F.when(F.col("p1").isNotNull(), merged).alias("fields"))
 
@@ -314,7 +325,7 @@ def sections_to_text(df: DataFrame, sections: str = "sections") -> DataFrame:
 
 
 def merge_sources(df: DataFrame, url: str = "url", text: str = "text",
-                  fallback_chars: int | None = 10000, min_sections: int = 100) -> DataFrame:
+                  fallback_chars: int | None = None, min_sections: int = 100) -> DataFrame:
     """Best source per field from the columns ``jsonld`` and ``selectors`` (structs), ``answer``
     (map of an external model's fields, may be null) and the visible text.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import fixed
 from ..functions.columns import as_col, first_or_null, let, non_empty, squeeze, strip, strings
+from .postings import last_answer
 from .skills import skill_list
 from .store import latest_per_key
 
@@ -46,9 +47,12 @@ def linkedin_of(text: Column | str) -> Column:
     return _first(as_col(text), fixed.LINKEDIN)
 
 
-def location_of(text: Column | str) -> Column:
-    """``City, ST`` in the head of the text; nothing if the first such pair ends in a degree."""
-    head = F.substring(as_col(text), 1, fixed.LOCATION_CHARS)
+def location_of(text: Column | str, chars: int | None = None) -> Column:
+    """The first ``City, ST`` of the text; nothing if that pair ends in a degree.
+
+    ``chars=fixed.LOCATION_CHARS`` looks at the head only.
+    """
+    head = as_col(text) if chars is None else F.substring(as_col(text), 1, chars)
     city, state = _first(head, fixed.CITY_STATE, 1), _first(head, fixed.CITY_STATE, 2)
     return F.when(~state.isin(*fixed.NOT_STATES), F.concat(city, F.lit(", "), state))
 
@@ -95,25 +99,22 @@ def sections_of(text: Column | str) -> Column:
         headers, pieces = _all(c, _ANY_HEADER), F.split(c, "(?d)" + _ANY_HEADER, -1)
 
         def build(p: Column) -> Column:
-            marks = F.transform(
-                p["headers"],
-                lambda h, i: F.struct(
-                    _section_kind(h).alias("section_type"),
-                    F.aggregate(F.slice(p["headers"], 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)).alias("h"),
-                    F.aggregate(F.slice(p["pieces"], 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)).alias("t"),
-                    p["pieces"][i + 1].alias("text"),
-                ),
-            )
-            spans = F.transform(marks, lambda m: F.struct(
-                m["section_type"].alias("section_type"),
-                (m["h"] + m["t"]).alias("start"),
-                (m["h"] + m["t"] + F.length(m["text"])).alias("end"),
-                m["text"].alias("text"),
-            ))
-            return let(spans, lambda all_spans: F.filter(
-                all_spans,
-                lambda s, i: F.array_position(
-                    F.transform(all_spans, lambda x: x["section_type"]), s["section_type"]) == i + 1))
+            # Only the first header of each kind counts, so positions are summed for a few of them.
+            kinds = F.transform(p["headers"], _section_kind)
+
+            def first(kind: str):
+                return lambda at: cut_at(kind, at)
+
+            def cut_at(kind: str, at: Column) -> Column:
+                before = lambda array: F.aggregate(F.slice(array, F.lit(1), at), F.lit(0), lambda n, x: n + F.length(x))
+                start = before(p["headers"]) + before(p["pieces"])
+                return F.when(at > 0, F.struct(
+                    F.lit(kind).alias("section_type"), start.alias("start"),
+                    (start + F.length(p["pieces"][at])).alias("end"), F.get(p["pieces"], at).alias("text")))
+
+            found = let(kinds, lambda ks: F.array(*[
+                let(F.array_position(ks, kind).cast("int"), first(kind)) for kind in fixed.SECTION_HEADERS]))
+            return F.array_sort(F.array_compact(found), lambda x, y: x["start"] - y["start"])
 
         return let(F.struct(headers.alias("headers"), pieces.alias("pieces")), build)
 
@@ -133,25 +134,27 @@ def _section(sections: Column, kind: str) -> Column:
 # --- entries ------------------------------------------------------------------------------------------------
 
 
-def _bullets(text: Column, longer_than: int, dotall: bool, cut: int | None = None) -> Column:
+def _bullets(text: Column, longer_than: int, dotall: bool, one_line: bool = False, cut: int | None = None,
+             most: int | None = None) -> Column:
+    """Bullets longer than some characters; ``cut`` and ``most`` limit their length and number."""
     found = F.transform(_all(text, ("(?s)" if dotall else "") + fixed.BULLET, 1), strip)
-    if cut is not None:
+    if one_line:
         found = F.transform(found, squeeze)
     kept = F.filter(found, lambda b: F.length(b) > longer_than)
     if cut is not None:
         kept = F.transform(kept, lambda b: F.substring(b, 1, cut))
-    return F.slice(kept, 1, 5)
+    return kept if most is None else F.slice(kept, 1, most)
 
 
-def experience_of(section: Column, strict: bool = False) -> Column:
-    """One entry per date range of an experience section.
+def experience_of(section: Column, strict: bool = False, most: int | None = None) -> Column:
+    """One entry per date range of an experience section, with ``most`` (say 5) bullets or all of them.
 
     ``strict`` reads bullets line by line, which loses a bullet that ends in a full stop unless
     it is the last one; the default reads across the line breaks put after sentences.
     """
 
     def company(before: Column, title: Column) -> Column:
-        lead = F.concat(F.lit(r"(?i)([A-Z][A-Za-z\s&]+?)\s+\Q"), title, F.lit(r"\E"))
+        lead = F.concat(F.lit(fixed.COMPANY_LEAD + r"\s+\Q"), title, F.lit(r"\E"))
         by_place = non_empty(strip(F.regexp_extract(before, fixed.COMPANY_PLACE, 1)))
         before_title = F.when(title.isNotNull(), non_empty(strip(
             F.call_function("regexp_extract", before, lead, F.lit(1)))))
@@ -164,7 +167,7 @@ def experience_of(section: Column, strict: bool = False) -> Column:
             company(before, t).alias("company"),
             t.alias("title"),
             date.alias("dates"),
-            _bullets(after, 10, not strict).alias("description"),
+            _bullets(after, 10, not strict, most=most).alias("description"),
         ))
 
     def build(p: Column) -> Column:
@@ -204,15 +207,18 @@ def education_of(section: Column) -> Column:
     return _entries(schemas.EDUCATION, F.when(section.isNotNull(), let(section, build)))
 
 
-def projects_of(section: Column, strict: bool = False) -> Column:
-    """One entry per ``Name (tech | tech):`` heading."""
+def projects_of(section: Column, strict: bool = False, cut: int | None = None, most: int | None = None) -> Column:
+    """One entry per ``Name (tech | tech):`` heading.
+
+    ``cut`` (say 300) shortens bullets and ``most`` (say 5) limits their number; both are off.
+    """
 
     def entry(head: Column, body: Column) -> Column:
         techs = F.transform(F.split(F.regexp_extract(head, fixed.PROJECT_HEAD, 2), "[|,]"), strip)
         return F.struct(
             strip(F.regexp_extract(head, fixed.PROJECT_HEAD, 1)).alias("name"),
             F.filter(techs, lambda t: t != "").alias("technologies"),
-            _bullets(body, 20, True, 300).alias("description"),
+            _bullets(body, 20, True, True, cut, most).alias("description"),
             F.lit(None).cast("string").alias("url"),
         )
 
@@ -240,11 +246,17 @@ def project_entries(df: DataFrame, text: str = "raw_text", key: str = "id") -> D
     return _entry_rows(df, projects_of, "projects", text, key)
 
 
-def summary_of(text: Column | str) -> Column:
-    """Text after a summary heading near the top, if longer than 50 characters."""
-    found = strip(F.regexp_extract(F.substring(as_col(text), 1, 2000), fixed.SUMMARY_TEXT, 1))
-    cut = F.when(F.length(found) > 500, F.concat(F.substring(found, 1, 500), F.lit("..."))).otherwise(found)
-    return F.when(F.length(found) > 50, cut)
+def summary_of(text: Column | str, head: int | None = None, cut: int | None = None) -> Column:
+    """Text after a summary heading, if longer than 50 characters.
+
+    ``head`` (say 2000) looks at the top of the text only, ``cut`` (say 500) shortens what is found; both are off.
+    """
+    top = as_col(text) if head is None else F.substring(as_col(text), 1, head)
+    found = strip(F.regexp_extract(top, fixed.SUMMARY_TEXT, 1))
+    if cut is None:
+        return F.when(F.length(found) > 50, found)
+    short = F.when(F.length(found) > cut, F.concat(F.substring(found, 1, cut), F.lit("..."))).otherwise(found)
+    return F.when(F.length(found) > 50, short)
 
 
 def extract_summaries(df: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -283,7 +295,7 @@ def build_profiles(texts: DataFrame, text: str = "raw_text", taxonomy=None, summ
 
     return rows.withColumn("extraction_methods", F.struct(
         found("email", "phone", "linkedin", "skills", "projects").alias("regex"),
-        found("name", "location", "experience", "education").alias("spacy"),
+        found("name", "location", "experience", "education").alias("pattern"),
     ))
 
 
@@ -332,15 +344,16 @@ def _corrected(df: DataFrame, answer: str) -> DataFrame:
 
 
 def overlay_corrections(profiles: DataFrame, answers: DataFrame, key: str = "id",
-                        json: str = "json") -> DataFrame:
+                        json: str = "json", order: str | None = None) -> DataFrame:
     """Profiles after the corrections of pass 1 and then pass 2 (``answers``: record_id, pass, json).
 
+    Of several answers of one pass the last by the column ``order`` counts.
+
     A contact field is replaced when its key is in the answer, even by null; a list only by a
     list. Adds the raw answers and ``corrected``.
     """
     per_record = answers.groupBy(F.col("record_id").alias(key)).agg(
-        F.max(F.when(F.col("pass") == 1, F.col(json))).alias("answer_1"),
-        F.max(F.when(F.col("pass") == 2, F.col(json))).alias("answer_2"),
+        last_answer(1, json, order).alias("answer_1"), last_answer(2, json, order).alias("answer_2"),
     )
     joined = profiles.join(per_record, key, "left")
     fixed_up = _corrected(_corrected(joined, "answer_1"), "answer_2")

@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import as_col
 
-# Wording of the requests sent to the external model. The posting goes between lead and tail;
-# %s stand for the parts of the section in order.
+# Requests to an external model: the section, the posting, what is wanted. %s stand for the parts
+# of the section in order. Callers may pass wording of their own.
 LEADS = {
-    "experience": (
-        "Rewrite this work experience section to better align with the target job.\n\n"
-        "CURRENT EXPERIENCE:\nTitle: %s\nCompany: %s\nDates: %s\n\nCurrent Bullet Points:\n%s\n\n"
-        "TARGET JOB DESCRIPTION (key requirements to align with):\n"
-    ),
-    "project": (
-        "Rewrite this project section to better align with the target job.\n\n"
-        "CURRENT PROJECT:\nName: %s\nTechnologies: %s\n\nCurrent Description:\n%s\n\n"
-        "TARGET JOB DESCRIPTION (key requirements to align with):\n"
-    ),
-    "summary": (
-        "Rewrite this professional summary to better align with the target job.\n\n"
-        "CURRENT SUMMARY:\n%s\n\nTARGET JOB DESCRIPTION:\n"
-    ),
+    "experience": "Section: a job\nPosition: %s\nEmployer: %s\nWhen: %s\nPoints:\n%s\n\nPosting:\n",
+    "project": "Section: a project\nCalled: %s\nBuilt with: %s\nPoints:\n%s\n\nPosting:\n",
+    "summary": "Section: an introduction\nText:\n%s\n\nPosting:\n",
 }
 TAILS = {
-    "experience": (
-        "\n\nUse its keywords where they fit, lead with the most relevant content, and add no facts.\n"
-        'Return only the bullet points, one per line starting with "- ".'
-    ),
-    "project": (
-        "\n\nHighlight matching technologies and outcomes, use strong verbs, and add no facts.\n"
-        'Return only the bullet points, one per line starting with "- ".'
-    ),
-    "summary": "\n\nKeep it to 2-4 truthful sentences. Return only the summary paragraph.",
+    "experience": "\n\nReword the points so that they answer the posting, and invent nothing. Lines of the form \"- point\" only.",
+    "project": "\n\nReword the points so that they answer the posting, and invent nothing. Lines of the form \"- point\" only.",
+    "summary": "\n\nReword the text in at most four sentences so that it answers the posting, and invent nothing.",
 }
+NO_TOOLS = "nothing named"
 
 
 def experience_key_text(e: Column) -> Column:
@@ -50,10 +36,12 @@ def project_key_text(p: Column) -> Column:
                        F.array_join(p["description"], "\n"))
 
 
-def cache_key(content: Column | str, posting: Column | str) -> Column:
-    head = F.substring(F.coalesce(as_col(posting), F.lit("")), 1, fixed.KEY_POSTING_CHARS)
-    text = F.concat(F.coalesce(as_col(content), F.lit("")), F.lit(fixed.KEY_SEPARATOR), head)
-    return F.coalesce(F.md5(text), F.lit(""))  # never null, so joins on it need no null filter
+def cache_key(content: Column | str, posting: Column | str, chars: int | None = None) -> Column:
+    """Digest of a section and a posting; ``chars=fixed.KEY_POSTING_CHARS`` uses the posting's head only."""
+    text = F.coalesce(as_col(posting), F.lit(""))
+    head = text if chars is None else F.substring(text, 1, chars)
+    joined = F.concat(F.coalesce(as_col(content), F.lit("")), F.lit(fixed.KEY_SEPARATOR), head)
+    return F.coalesce(F.md5(joined), F.lit(""))  # never null, so joins on it need no null filter
 
 
 def _dashed(bullets: Column) -> Column:
@@ -75,7 +63,7 @@ def section_requests(profiles: DataFrame, key: str = "profile_id") -> DataFrame:
         return item("experience", i, experience_key_text(e), lead)
 
     def project(p: Column, i: Column) -> Column:
-        techs = F.when(F.size(p["technologies"]) > 0, F.array_join(p["technologies"], ", ")).otherwise("Not specified")
+        techs = F.when(F.size(p["technologies"]) > 0, F.array_join(p["technologies"], ", ")).otherwise(NO_TOOLS)
         lead = F.format_string(LEADS["project"], text(p["name"]), techs, text(_dashed(p["description"])))
         return item("project", i, project_key_text(p), lead)
 
@@ -90,32 +78,42 @@ def section_requests(profiles: DataFrame, key: str = "profile_id") -> DataFrame:
 
 
 def rewrite_worklist(weak: DataFrame, requests: DataFrame, postings: DataFrame, cache: DataFrame,
+                     chars: int | None = None, tails: Mapping[str, str] = TAILS,
                      ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits with the cached text, misses with one prompt per key, unsupported sections).
 
     weak(posting_id, profile_id, section_type, section_index); requests of ``section_requests``;
-    postings(posting_id, description); cache(cache_key, response_text). Only the part of the
-    posting that the key uses is carried. Equal keys are asked once.
+    postings(posting_id, description); cache(cache_key, response_text). Equal keys are asked once,
+    for their first (posting, profile, section); only then is a prompt put together. ``chars`` cuts
+    the posting in key and prompt.
     """
-    wanted = weak.select("posting_id", "profile_id", "section_type", "section_index")
-    supported = F.col("section_type").isin("summary", "experience", "project")
+    section = ["profile_id", "section_type", "section_index"]
+    wanted = weak.select("posting_id", *section)
+    supported = F.col("section_type").isin(*tails)
     unsupported = wanted.filter(~supported).withColumn("reason", F.lit(fixed.UNSUPPORTED))
-    heads = postings.select("posting_id", F.substring("description", 1, fixed.KEY_POSTING_CHARS).alias("_head"))
+    head = F.col("description") if chars is None else F.substring("description", 1, chars)
+    heads = postings.select("posting_id", head.alias("_head"))
+    columns = ["posting_id", *section, "cache_key"]
     asked = (
         wanted.filter(supported)
-        .join(requests, ["profile_id", "section_type", "section_index"])
+        .join(requests.select(*section, "content"), section)
         .join(heads, "posting_id")
-        .withColumn("cache_key", cache_key("content", "_head"))
+        .select("posting_id", *section, cache_key("content", "_head").alias("cache_key"))
     )
     known = cache.filter(F.coalesce(F.col("response_text"), F.lit("")) != "").select("cache_key", "response_text")
-    columns = ["posting_id", "profile_id", "section_type", "section_index", "cache_key"]
-    hits = asked.select(*columns).join(known, "cache_key").select(*columns, "response_text")
+    hits = asked.join(known, "cache_key").select(*columns, "response_text")
     misses = asked.join(known.select("cache_key"), "cache_key", "left_anti")
+    first = misses.groupBy("cache_key").agg(
+        F.min(F.struct("posting_id", *section)).alias("first"), F.count(F.lit(1)).alias("sections"))
     tail = F.lit(None).cast("string")
-    for kind, wording in TAILS.items():
+    for kind, wording in tails.items():
         tail = F.when(F.col("section_type") == kind, F.lit(wording)).otherwise(tail)
-    prompt = F.concat("lead", "_head", tail)
-    todo = misses.groupBy("cache_key").agg(F.min(prompt).alias("prompt"), F.count(F.lit(1)).alias("sections"))
+    todo = (
+        first.select("cache_key", "first.*", "sections")
+        .join(requests.select(*section, "lead"), section)
+        .join(heads, "posting_id")
+        .select("cache_key", F.concat("lead", F.coalesce("_head", F.lit("")), tail).alias("prompt"), "sections")
+    )
     return hits, todo, unsupported
 
 

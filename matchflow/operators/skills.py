@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import WORD_CHAR, as_col, bounded_rows, constant, let, lookup_map, strings, strip
+from ..functions.columns import WORD_CHAR, as_col, constant, let, lookup_map, strings, strip
 
 TECH, SOFT = "tech", "soft"
 DEFAULT_TAXONOMY = tuple((t, TECH) for t in fixed.TECH_SKILLS) + tuple((t, SOFT) for t in fixed.SOFT_SKILLS)
-# Taxonomies up to this many terms are tagged inside each document's row; larger ones by a join.
-MAX_INLINE_TERMS = 2000
 
 _WORD = re.compile(r"\w+")
 
@@ -59,8 +57,11 @@ def skill_list(text: Column | str, taxonomy: Iterable[tuple[str, str]] | None =
     rules: dict[str, list[dict[str, str | None]]] = {}
     for term, kind in DEFAULT_TAXONOMY if taxonomy is None else taxonomy:
         lowered = term.lower()
+        word = _WORD.search(lowered)
+        if word is None:  # a term without a word character stands between no words
+            continue
         name = aliases.get(lowered.strip(), lowered.strip()) if kind == TECH else lowered
-        rules.setdefault(_WORD.search(lowered).group(), []).append({"name": name, "pattern": _pattern(lowered)})
+        rules.setdefault(word.group(), []).append({"name": name, "pattern": _pattern(lowered)})
     table = constant(rules, "map<string,array<struct<name:string,pattern:string>>>")
 
     def tag(lowered: Column) -> Column:
@@ -99,23 +100,17 @@ def _tag_by_join(docs: DataFrame, taxonomy: DataFrame, key: str, text: str,
     return sure.unionByName(checked).distinct()
 
 
-def tag_skills(docs: DataFrame, taxonomy: DataFrame | None = None, key: str = "doc_id",
-               text: str = "text", aliases: Mapping[str, str] = fixed.SKILL_ALIASES,
-               max_inline: int = MAX_INLINE_TERMS) -> DataFrame:
+def tag_skills(docs: DataFrame, taxonomy: DataFrame | Iterable[tuple[str, str]] | None = None, key: str = "doc_id",
+               text: str = "text", aliases: Mapping[str, str] = fixed.SKILL_ALIASES) -> DataFrame:
     """(key, skill) for each taxonomy term that occurs as a whole word.
 
-    ``taxonomy`` has the columns term and kind. Its size is checked: up to ``max_inline`` terms
-    go into the scan of the documents, which then needs no shuffle; beyond that it is joined.
+    A table (term, kind) is joined, whatever its size; the default terms or a list of (term, kind)
+    go into the scan of the documents, which then needs no shuffle. Both give the same rows. Terms
+    without a word character are tagged nowhere.
     """
-    rows = None
-    if taxonomy is not None:
-        rows = bounded_rows(taxonomy.select("term", "kind"), max_inline)
-        if rows is None:
-            return _tag_by_join(docs, taxonomy, key, text, aliases)
-        if not rows:
-            return docs.select(key, F.lit("").alias("skill")).limit(0)
-    found = skill_list(text, [(r["term"], r["kind"]) for r in rows] if rows else None, aliases)
-    return docs.select(key, F.explode(found).alias("skill"))
+    if isinstance(taxonomy, DataFrame):
+        return _tag_by_join(docs, taxonomy.select("term", "kind").filter("term is not null"), key, text, aliases)
+    return docs.select(key, F.explode(skill_list(text, taxonomy, aliases)).alias("skill"))
 
 
 # --- gaps ------------------------------------------------------------------------------------------------

@@ -93,15 +93,23 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str])
     return best.select(*keys, "row.*").select(*batch.columns)
 
 
+def _one_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None) -> DataFrame:
+    return latest_per_key(batch, keys, order) if order else batch.dropDuplicates(list(keys))
+
+
 def upsert(batch: DataFrame, store: DataFrame, keys: Sequence[str], now: Column | None = None,
            id_col: str | None = None, digest: str | None = None,
-           stamp: str | None = None) -> DataFrame:
-    """Store content after inserting or replacing the rows of ``batch`` (one row per key).
+           stamp: str | None = None, order: Sequence[str] | None = None) -> DataFrame:
+    """Store content after inserting or replacing the rows of ``batch``.
+
+    Of several rows of ``batch`` with one key the last by ``order`` counts; without an order, any
+    one of them.
 
     A replaced row takes every non-key column of the new row, keeps ``id_col`` and gets ``now``
     in ``stamp``. With ``digest``, a row whose stored digest is equal stays as it was. The choice
     is made per row, so a null in the new row does replace a stored value.
     """
+    batch = _one_per_key(batch, keys, order)
     old = store.withColumn("_old", F.lit(True)).alias("o")
     new = batch.withColumn("_new", F.lit(True)).alias("n")
     joined = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
@@ -125,8 +133,8 @@ def upsert(batch: DataFrame, store: DataFrame, keys: Sequence[str], now: Column
 
 def upsert_if_changed(batch: DataFrame, store: DataFrame, keys: Sequence[str], digest: str,
                       now: Column | None = None, id_col: str | None = None,
-                      stamp: str | None = None) -> DataFrame:
-    return upsert(batch, store, keys, now, id_col, digest, stamp)
+                      stamp: str | None = None, order: Sequence[str] | None = None) -> DataFrame:
+    return upsert(batch, store, keys, now, id_col, digest, stamp, order)
 
 
 def assign_ids(df: DataFrame, start: Column | int, order: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -155,14 +163,16 @@ def assign_ids(df: DataFrame, start: Column | int, order: Sequence[str], id_col:
 
 def patch(store: DataFrame, edits: DataFrame, key: str, columns: Sequence[str],
           now: Column | None = None, stamp: str = "updated_at", clear: str | None = None,
-          overwrite: bool = False) -> DataFrame:
-    """Per-column update by key (one edit per key): a null in an edit keeps the stored value.
+          overwrite: bool = False, order: Sequence[str] | None = None) -> DataFrame:
+    """Per-column update by key: a null in an edit keeps the stored value.
+
+    Of several edits of one key the last by ``order`` counts, whole; without an order, any one.
 
     ``clear`` names an edit column listing the columns to set to null; ``overwrite`` takes every
     edit value as it is. Rows without an edit are unchanged; edited rows get ``now``.
     """
     extra = [clear] if clear else []
-    changes = edits.select(key, *columns, *extra).withColumn("_edit", F.lit(True)).alias("e")
+    changes = _one_per_key(edits, [key], order).select(key, *columns, *extra).withColumn("_edit", F.lit(True)).alias("e")
     joined = store.alias("s").join(changes, F.col(f"s.{key}") == F.col(f"e.{key}"), "left")
     hit = F.col("_edit").isNotNull()
     out = []
@@ -180,9 +190,10 @@ def patch(store: DataFrame, edits: DataFrame, key: str, columns: Sequence[str],
     return joined.select(*out)
 
 
-def vector_put(store: DataFrame, vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """Set the vector column for a set of keys."""
-    return patch(store, vectors, key, [column], overwrite=True)
+def vector_put(store: DataFrame, vectors: DataFrame, key: str, column: str,
+               order: Sequence[str] | None = None) -> DataFrame:
+    """Set the vector column for a set of keys; repeated keys as in ``patch``."""
+    return patch(store, vectors, key, [column], overwrite=True, order=order)
 
 
 # --- delete ----------------------------------------------------------------------------------------

@@ -76,38 +76,38 @@ def fill_rates(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 # --- gazetteer -------------------------------------------------------------------------------------------
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_CHAR + "+"), F.lit(0))
+
+
 def first_mentions(docs: DataFrame, names: DataFrame, key: str, text: str, name: str = "name",
-                   chars: int | None = 5000, max_words: int = 4) -> DataFrame:
+                   chars: int | None = None) -> DataFrame:
     """(key, name): the dictionary name mentioned earliest, the longer one on a tie.
 
-    Word n-grams of each text, distinct with their first position, are joined to the names on
-    the lower-cased phrase; names of more than ``max_words`` words are not found. The dictionary
-    side is unique per phrase, so the join never multiplies rows.
+    Only words that begin a name go on, each with the words that follow it up to the longest
+    name; names may have any number of words. ``chars`` looks at the head of each text only.
     """
+    phrase = _words(F.col(name))
+    known = names.select(F.col(name).alias("name"), F.array_join(phrase, " ").alias("phrase"),
+                         F.get(phrase, F.lit(0)).alias("word"), F.size(phrase).alias("words"))
+    known = known.filter("word is not null").groupBy("phrase", "word", "words").agg(F.min("name").alias("name"))
+    longest = known.agg(F.max("words")).first()[0] or 0
     body = F.col(text) if chars is None else F.substring(text, 1, chars)
-    tokens = F.regexp_extract_all(F.lower(body), F.lit(WORD_CHAR + "+"), F.lit(0))
-
-    def phrases(ws: Column) -> Column:
-        """Phrases of one to ``max_words`` words with the place of their first word."""
-        lengths = F.filter(F.sequence(F.lit(1), F.lit(max_words)), lambda n: n <= F.size(ws))
-        return F.flatten(F.transform(lengths, lambda n: F.transform(
-            F.sequence(F.lit(0), F.size(ws) - n),
-            lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(ws, i + 1, n), " ").alias("phrase")))))
-
-    grams = docs.select(key, F.inline(let(tokens, phrases)))
-    first = grams.groupBy(key, "phrase").agg(F.min("pos").alias("pos"))
-    phrase = F.array_join(F.regexp_extract_all(F.lower(name), F.lit(WORD_CHAR + "+"), F.lit(0)), " ")
-    known = names.select(F.col(name).alias("name"), phrase.alias("phrase")).groupBy("phrase").agg(
-        F.min("name").alias("name"))
-    hits = first.join(known, "phrase")
+    places = let(_words(body), lambda ws: F.transform(ws, lambda w, i: F.struct(
+        i.alias("pos"), w.alias("word"), F.concat(F.array_join(F.slice(ws, i + 1, longest), " "), F.lit(" ")).alias("ahead"))))
+    hits = docs.select(key, F.inline(places)).join(known, "word").filter(
+        F.startswith("ahead", F.concat("phrase", F.lit(" "))))
     return hits.groupBy(key).agg(
         F.min_by("name", F.struct("pos", -F.length("phrase"), "name")).alias("name"))
 
 
 def fill_from_gazetteer(df: DataFrame, orgs: DataFrame, places: DataFrame, key: str = "id",
                         text: str = "description", name: str = "name",
-                        chars: int | None = 5000) -> DataFrame:
-    """Fills null company and location from dictionaries; only rows with a gap are searched."""
+                        chars: int | None = None) -> DataFrame:
+    """Fills null company and location from dictionaries; only rows with a gap are searched.
+
+    ``chars=5000`` looks at the first 5,000 characters only.
+    """
     for column, names in (("company", orgs), ("location", places)):
         gaps = df.filter(F.col(column).isNull()).select(key, text)
         found = first_mentions(gaps, names, key, text, name, chars).withColumnRenamed("name", "_found")

@@ -330,13 +330,14 @@ def _zero_cells(cells: _Cells, stored: DataFrame, key: str, column: str) -> _Cel
 def near_dups(vectors: DataFrame, threshold: float, key: str = "vec_id", column: str = "embedding",
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, keeper): the lowest key among all vectors at least ``threshold`` similar to a row,
-    itself included. Rows whose keeper is another row are near copies.
+    itself included. Rows whose keeper is another row are near copies; a row without a vector is
+    its own keeper.
 
     Equal vectors are folded into one first, so a group of copies is compared once however large
     it is; a block then returns one row per query (its lowest close key), never the pairs.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    folded = vectors.groupBy(column).agg(F.min(key).alias(key))
+    folded = vectors.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(key).alias(key))
     reps = settle(folded.select(key, F.col(column).cast("array<float>").alias(column)))
     cells = _Cells(reps, key, column, block_rows)
     if cells.rows is None:
@@ -364,4 +365,4 @@ def near_dups(vectors: DataFrame, threshold: float, key: str = "vec_id", column:
     per_vector = reps.join(best, key, "left").select(
         F.col(column).alias("_v"), F.least(F.col(key), F.col("_close")).alias("keeper"))
     same = F.col(column).cast("array<float>") == F.col("_v")
-    return vectors.join(per_vector, same).select(key, F.least(key, "keeper").alias("keeper"))
+    return vectors.join(per_vector, same, "left").select(key, F.least(key, "keeper").alias("keeper"))

@@ -303,9 +303,9 @@ def _worklist(spark, sf):
     """The cache holds the answers for returned parts."""
     weak, requests, texts = _weak(spark, sf), rewrite.section_requests(_summarised(spark, sf)), postings(spark, sf)
     returned = weak.filter("flag = 'R'").join(requests, ["profile_id", "section_type", "section_index"]).join(texts, "posting_id")
-    cache = returned.filter("section_type <> 'skills'").select(rewrite.cache_key("content", "description").alias("cache_key")).distinct()
+    cache = returned.filter("section_type <> 'skills'").select(rewrite.cache_key("content", "description", fixed.KEY_POSTING_CHARS).alias("cache_key")).distinct()
     cache = cache.withColumn("response_text", F.concat(F.lit("answer "), "cache_key"))
-    return rewrite.rewrite_worklist(weak, requests, texts, cache)
+    return rewrite.rewrite_worklist(weak, requests, texts, cache, fixed.KEY_POSTING_CHARS)
 
 
 @query(_ASKED + "SELECT posting_id, profile_id, section_type, cache_key, response_text FROM asked JOIN cache USING (cache_key)")

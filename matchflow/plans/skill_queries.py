@@ -88,12 +88,10 @@ def skill_tags(spark, sf):
 WITH tax AS (SELECT DISTINCT unnest({sql_words('text')}) AS term FROM benchmark)
 SELECT DISTINCT doc_id, term AS skill
 FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents) JOIN tax USING (term)
-WHERE length(term) >= 8
 """)
 def skill_tags_derived(spark, sf):
-    """Tagging with a vocabulary that grows with the data: the long words of the benchmark texts."""
-    vocabulary = table(spark, sf, "benchmark").select(F.explode(keywords.words(F.col("text"))).alias("term")).filter(
-        F.length("term") >= 8).distinct().withColumn("kind", F.lit(skills.SOFT))
+    """Tagging with a vocabulary that grows with the data: all words of the benchmark texts."""
+    vocabulary = table(spark, sf, "benchmark").select(F.explode(keywords.words(F.col("text"))).alias("term")).distinct().withColumn("kind", F.lit(skills.SOFT))
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return skills.tag_skills(docs, vocabulary)
 

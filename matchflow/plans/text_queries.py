@@ -209,7 +209,7 @@ def build_profiles(spark, sf):
         "profile_id", "full_name", "email", "location", F.array_join("skills", ", ").alias("skills"),
         size("experience").alias("jobs"), size("education").alias("schools"), size("projects").alias("projects"),
         F.array_join("extraction_methods.regex", ",").alias("by_regex"),
-        F.array_join("extraction_methods.spacy", ",").alias("by_other"))
+        F.array_join("extraction_methods.pattern", ",").alias("by_other"))
 
 
 # --- corrections and rewrites ------------------------------------------------------------------------------------

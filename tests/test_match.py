@@ -201,10 +201,10 @@ def test_rewrite_worklist_splits_and_asks_once(spark, people):
     postings = spark.createDataFrame([(1, head + "a"), (2, head + "b"), (3, "q")], "posting_id long, description string")
     key = spark.createDataFrame([("I & you", "q")], "c string, d string").select(rewrite.cache_key("c", "d").alias("k")).first().k
     cache = spark.createDataFrame([(key, "done"), ("x", "")], "cache_key string, response_text string")
-    hits, todo, unsupported = rewrite.rewrite_worklist(weak, rewrite.section_requests(people), postings, cache)
+    hits, todo, unsupported = rewrite.rewrite_worklist(weak, rewrite.section_requests(people), postings, cache, 2000)
     assert [(r.posting_id, r.response_text) for r in hits.collect()] == [(3, "done")]
     (ask,) = todo.collect()
-    assert ask.sections == 2 and "- built 5% more" in ask.prompt and head in ask.prompt and ask.prompt.startswith("Rewrite this work experience")
+    assert ask.sections == 2 and "- built 5% more" in ask.prompt and head in ask.prompt and ask.prompt.startswith("Section: a job")
     assert unsupported.first().reason == fixed.UNSUPPORTED
 
 

@@ -20,8 +20,9 @@ def test_tagging(one, text, found):
 def test_large_taxonomies_join_to_the_same_tags(spark):
     docs = spark.createDataFrame([(1, "We use Node.js, c++ and Python on AWS"), (2, "good communication; js"), (3, "")], "doc_id long, text string")
     taxonomy = spark.createDataFrame(list(skills.DEFAULT_TAXONOMY), "term string, kind string")
-    inline = sorted(map(tuple, skills.tag_skills(docs, taxonomy).collect()))
-    joined = sorted(map(tuple, skills.tag_skills(docs, taxonomy, max_inline=5).collect()))
+    odd = taxonomy.unionByName(spark.createDataFrame([("!!", "tech"), (None, "tech")], taxonomy.schema))
+    inline = sorted(map(tuple, skills.tag_skills(docs, [*skills.DEFAULT_TAXONOMY, ("!!", "tech")]).collect()))
+    joined = sorted(map(tuple, skills.tag_skills(docs, odd).collect()))
     assert inline == joined and (1, "amazon web services") in joined
 
 

@@ -129,7 +129,8 @@ def test_summary(one):
     text = "Profile: " + "many words here " * 5 + "\n\nrest"
     assert one(prof.summary_of("x"), text) == ("many words here " * 5).strip()
     assert one(prof.summary_of("x"), "Summary: short skills") is None
-    assert one(prof.summary_of("x"), "Summary: " + "a" * 600 + " skills") == "a" * 500 + "..."
+    assert one(prof.summary_of("x"), "Summary: " + "a" * 600 + " skills") == "a" * 600
+    assert one(prof.summary_of("x", 2000, 500), "Summary: " + "a" * 600 + " skills") == "a" * 500 + "..."
 
 
 def test_corrections_replace_present_keys_and_real_lists(spark, profile):
