@@ -251,6 +251,8 @@ MONTH = (
     r"Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 )
 DATE_RANGE = rf"(?i){MONTH}\s+\d{{4}}\s*[-–]\s*(?:{MONTH}\s+\d{{4}}|Present|Current)"
+# Dates of sections without any range of months.
+LOOSE_DATE = rf"(?i){MONTH}[\s,]*\d{{4}}|\d{{1,2}}/\d{{4}}|\d{{4}}\s*[-–]\s*(?:\d{{4}}|present|current)"
 JOB_TITLE = (
     r"(?i)\b((?:Senior|Junior|Lead|Staff|Principal|Associate|Assistant)?\s*"
     r"(?:Software|Frontend|Backend|Full[\s-]?Stack|Data|DevOps|Cloud|Machine Learning|ML|AI)?\s*"

@@ -149,6 +149,8 @@ def _bullets(text: Column, longer_than: int, dotall: bool, one_line: bool = Fals
 def experience_of(section: Column, strict: bool = False, most: int | None = None) -> Column:
     """One entry per date range of an experience section, with ``most`` (say 5) bullets or all of them.
 
+    A section without a range of months has an entry with nothing but its date for each other date.
+
     ``strict`` reads bullets line by line, which loses a bullet that ends in a full stop unless
     it is the last one; the default reads across the line breaks put after sentences.
     """
@@ -170,8 +172,14 @@ def experience_of(section: Column, strict: bool = False, most: int | None = None
             _bullets(after, 10, not strict, most=most).alias("description"),
         ))
 
+    def loose(date: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(none.alias("company"), none.alias("title"), date.alias("dates"),
+                        F.array().cast(_NO_TEXTS).alias("description"))
+
     def build(p: Column) -> Column:
-        return F.transform(p["dates"], lambda d, i: entry(d, p["pieces"][i], p["pieces"][i + 1]))
+        ranges = F.transform(p["dates"], lambda d, i: entry(d, p["pieces"][i], p["pieces"][i + 1]))
+        return F.when(F.size(p["dates"]) > 0, ranges).otherwise(F.transform(_all(section, fixed.LOOSE_DATE), loose))
 
     parts = F.struct(_all(section, fixed.DATE_RANGE).alias("dates"),
                      F.split(section, "(?d)" + fixed.DATE_RANGE, -1).alias("pieces"))
@@ -179,7 +187,10 @@ def experience_of(section: Column, strict: bool = False, most: int | None = None
 
 
 def education_of(section: Column) -> Column:
-    """One entry per institution; its details come from the text up to the next institution."""
+    """One entry per institution; its details come from the text up to the next institution.
+
+    Without any institution, a degree makes one entry with the degree and the grade.
+    """
 
     def chunk(s: Column, names: Column, i: Column) -> Column:
         start = F.instr(s, names[i])
@@ -202,7 +213,11 @@ def education_of(section: Column) -> Column:
         names = F.when(F.size(known) > 0, known).otherwise(_all(s, fixed.ANY_UNIVERSITY, 1))
         kept = F.filter(names, lambda u: ~F.array_contains(
             strings(fixed.NOT_INSTITUTIONS), F.lower(F.regexp_extract(strip(u), r"^\S+", 0))))
-        return let(kept, lambda ns: F.transform(ns, lambda u, i: entry(u, chunk(s, ns, i))))
+        none = F.lit(None).cast("string")
+        bare = F.struct(none.alias("institution"), _first(s, fixed.DEGREE, 1).alias("degree"), none.alias("field"),
+                        none.alias("dates"), _first(s, fixed.GPA, 1).alias("gpa"))
+        return let(kept, lambda ns: F.when(F.size(ns) > 0, F.transform(ns, lambda u, i: entry(u, chunk(s, ns, i)))).otherwise(
+            F.filter(F.array(bare), lambda e: e["degree"].isNotNull())))
 
     return _entries(schemas.EDUCATION, F.when(section.isNotNull(), let(section, build)))
 

@@ -291,9 +291,16 @@ _KEY_TEXTS = " UNION ALL ".join(f"SELECT c_custkey AS profile_id, '{kind}' AS se
     ("experience", f"{v.TITLE1} || '|' || {v.COMPANY1} || '|' || {v.BULLET1} || chr(10) || {v.FOUND_BULLET2}"),
     ("project", f"{v.PROJECT_NAME} || '|Java,' || {v.TECH2} || '|' || {v.PROJECT_BULLET}"),
     ("summary", _SUMMARY)))
+_LEADS = "CASE section_type WHEN 'experience' THEN format({}, {}) WHEN 'project' THEN format({}, {}) ELSE format({}, {}) END".format(*(
+    x for kind, parts in (
+        ("experience", (v.TITLE1, v.COMPANY1, v.DATES1, f"'- ' || {v.BULLET1} || chr(10) || '- ' || {v.FOUND_BULLET2}")),
+        ("project", (v.PROJECT_NAME, f"'Java, ' || {v.TECH2}", f"'- ' || {v.PROJECT_BULLET}")), ("summary", (_SUMMARY,)))
+    for x in (sql_text(rewrite.LEADS[kind].replace("%s", "{}")), ", ".join(parts))))
+_TAILS = "CASE section_type " + " ".join(f"WHEN '{kind}' THEN {sql_text(text)}" for kind, text in rewrite.TAILS.items()) + " END"
 _ASKED = f"""
-WITH asked AS (SELECT w.*, md5(content || '|||' || substring(description, 1, 2000)) AS cache_key
-               FROM ({_WEAK}) w JOIN ({_KEY_TEXTS}) k USING (profile_id, section_type)
+WITH asked AS (SELECT w.*, md5(content || '|||' || substring(description, 1, 2000)) AS cache_key,
+                      {_LEADS} || substring(description, 1, 2000) || {_TAILS} AS prompt
+               FROM (SELECT * FROM customer) c JOIN ({_WEAK}) w ON c_custkey = w.profile_id JOIN ({_KEY_TEXTS}) k USING (profile_id, section_type)
                JOIN ({v.POSTINGS_SQL}) p USING (posting_id)),
 cache AS (SELECT cache_key, 'answer ' || cache_key AS response_text FROM asked WHERE flag = 'R' GROUP BY cache_key)
 """
@@ -313,9 +320,9 @@ def rewrite_hits(spark, sf):
     return _worklist(spark, sf)[0].drop("section_index")
 
 
-@query(_ASKED + "SELECT cache_key, count(*) AS sections FROM asked WHERE cache_key NOT IN (SELECT cache_key FROM cache) GROUP BY cache_key")
+@query(_ASKED + "SELECT cache_key, count(*) AS sections, arg_min(prompt, (posting_id, profile_id, section_type)) AS prompt FROM asked WHERE cache_key NOT IN (SELECT cache_key FROM cache) GROUP BY cache_key")
 def rewrite_todo(spark, sf):
-    return _worklist(spark, sf)[1].filter(F.length("prompt") > 0).select("cache_key", "sections")
+    return _worklist(spark, sf)[1]
 
 
 @query(f"SELECT posting_id, profile_id, {sql_text(fixed.UNSUPPORTED)} AS reason FROM ({_WEAK}) WHERE section_type = 'skills'")

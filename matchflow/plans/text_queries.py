@@ -175,6 +175,32 @@ def education_entries(spark, sf):
     return prof.education_entries(profile_texts(spark, sf), key="profile_id").drop("index")
 
 
+_LOOSE_1 = "lpad(CAST(c_custkey % 12 + 1 AS STRING), 2, '0') || '/' || CAST(2000 + c_custkey % 20 AS STRING)"
+_LOOSE_2 = "CAST(1990 + c_nationkey AS STRING) || ' - present'"
+_LOOSE = f"'WORK EXPERIENCE helped out since ' || {_LOOSE_1} || ' and ' || {_LOOSE_2} || ' EDUCATION Bachelor of Science GPA: ' || {v.GPA}"
+
+
+@query(f"""
+SELECT c_custkey AS profile_id, {_LOOSE_1} AS dates, NULL AS degree, NULL AS gpa FROM customer
+UNION ALL SELECT c_custkey, {_LOOSE_2}, NULL, NULL FROM customer
+UNION ALL SELECT c_custkey, NULL, 'Bachelor of Science', {v.GPA} FROM customer
+""")
+def loose_entries(spark, sf):
+    """Texts without a range of months and without an institution."""
+    texts = table(spark, sf, "customer").selectExpr("c_custkey AS profile_id", f"{_LOOSE} AS raw_text")
+    none = F.lit(None).cast("string")
+    jobs = prof.experience_entries(texts, key="profile_id").select("profile_id", "dates", none.alias("degree"), none.alias("gpa"))
+    return jobs.unionByName(prof.education_entries(texts, key="profile_id").select("profile_id", none.alias("dates"), "degree", "gpa"))
+
+
+@query("SELECT doc_id, 'education' AS section_type FROM documents")
+def document_education_sections(spark, sf):
+    """Whole documents as education sections: however a text runs, its row comes out."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.concat(F.lit("EDUCATION "), "text").alias("raw_text"))
+    made = docs.select("doc_id", prof.sections_of("raw_text").alias("s"), prof.education_of(F.col("raw_text")).alias("e"))
+    return made.filter("size(e) >= 0").select("doc_id", F.col("s")[0]["section_type"].alias("section_type"))
+
+
 @query(f"""
 SELECT c_custkey AS profile_id, {v.PROJECT_NAME} AS name, 'Java, ' || {v.TECH2} AS technologies, {v.PROJECT_BULLET} AS bullets
 FROM customer
