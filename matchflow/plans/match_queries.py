@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import export, match, rewrite, skills, vectors
 from . import views as v
-from .registry import query
+from .registry import SQL, query
 from .views import bought, postings, profile_texts, profiles, spread, sql_text, table
 
 # --- vectors --------------------------------------------------------------------------------------------
@@ -108,6 +108,13 @@ def topk_cosine(spark, sf):
     return match.top_candidates(_posting_vectors(spark, sf), stored, 10)
 
 
+@query(SQL["topk_cosine"])
+def topk_cosine_blocks(spark, sf):
+    """The same over several cells and blocks."""
+    stored = _posting_vectors(spark, sf).withColumnRenamed("posting_id", "profile_id")
+    return match.top_candidates(_posting_vectors(spark, sf), stored, 10, block_rows=128)
+
+
 @query(f"""
 SELECT a.vec_id, least(a.vec_id, coalesce(min(b.vec_id), a.vec_id)) AS keeper
 FROM embeddings a LEFT JOIN embeddings b ON {_SIM.format('a', 'b')} >= 0.4 GROUP BY a.vec_id
@@ -116,6 +123,12 @@ def near_dups(spark, sf):
     return vectors.near_dups(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.4)
 
 
+@query(SQL["near_dups"])
+def near_dups_blocks(spark, sf):
+    """The same over several cells and blocks."""
+    return vectors.near_dups(table(spark, sf, "embeddings").select("vec_id", "embedding"), 0.4, block_rows=128)
+
+
 @query("""
 SELECT doc_id AS posting_id, c_custkey AS profile_id, 0.0::DOUBLE AS similarity
 FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
@@ -187,6 +200,25 @@ def score_pairs(spark, sf):
     return match.score_pairs(pairs, _section_vectors(spark, sf), _posting_vectors(spark, sf))
 
 
+_SHARE = "CASE section_type " + " ".join(
+    f"WHEN '{kind}' THEN {fixed.SECTION_WEIGHTS[kind]}::DOUBLE + CASE WHEN profile_id % 3 = 0 THEN {fixed.SECTION_WEIGHTS['summary'] * fixed.SUMMARY_SHARES.get(kind, 0.0)}::DOUBLE ELSE 0 END"
+    for kind in fixed.SECTION_WEIGHTS) + " END"
+
+
+@query(f"""
+WITH sections AS (SELECT * FROM ({_SECTIONS}) WHERE NOT (section_type = 'summary' AND profile_id % 3 = 0)),
+kinds AS (SELECT a.vec_id AS posting_id, s.profile_id, section_type, avg(round(list_dot_product(a.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6)) AS score
+          FROM embeddings a JOIN sections s ON s.profile_id = a.label GROUP BY ALL),
+weighted AS (SELECT *, {_SHARE} AS w FROM kinds)
+SELECT posting_id, profile_id, round(sum(score * w) / sum(w), 6) AS overall_score FROM weighted GROUP BY ALL
+""")
+def score_pairs_without_summary(spark, sf):
+    """The same where a third of the profiles have no summary, whose weight goes to their other sections."""
+    pairs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("posting_id"), F.col("label").cast("bigint").alias("profile_id"))
+    sections = _section_vectors(spark, sf).filter("NOT (section_type = 'summary' AND profile_id % 3 = 0)")
+    return match.score_pairs(pairs, sections, _posting_vectors(spark, sf)).withColumn("overall_score", F.round("overall_score", 6))
+
+
 @query(MATCH + "SELECT profile_id, count(*) AS uses FROM best WHERE rank = 1 AND overall_score >= 0.2 GROUP BY 1")
 def route_uses(spark, sf):
     best = match.leaderboard(_posting_vectors(spark, sf), _profile_vectors(spark, sf), _section_vectors(spark, sf), 5)
