@@ -210,13 +210,16 @@ WITH sections AS (SELECT * FROM ({_SECTIONS}) WHERE NOT (section_type = 'summary
 kinds AS (SELECT a.vec_id AS posting_id, s.profile_id, section_type, avg(round(list_dot_product(a.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6)) AS score
           FROM embeddings a JOIN sections s ON s.profile_id = a.label GROUP BY ALL),
 weighted AS (SELECT *, {_SHARE} AS w FROM kinds)
-SELECT posting_id, profile_id, round(sum(score * w) / sum(w), 6) AS overall_score FROM weighted GROUP BY ALL
+SELECT posting_id, profile_id, round(round(sum(score * w) / sum(w), 9) + 1e-10, 6) AS overall_score FROM weighted GROUP BY ALL
 """)
 def score_pairs_without_summary(spark, sf):
-    """The same where a third of the profiles have no summary, whose weight goes to their other sections."""
+    """The same where a third of the profiles have no summary, whose weight goes to their other sections.
+
+    Means of two scores lie half way between two last digits; the small addition sends both engines up.
+    """
     pairs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("posting_id"), F.col("label").cast("bigint").alias("profile_id"))
     sections = _section_vectors(spark, sf).filter("NOT (section_type = 'summary' AND profile_id % 3 = 0)")
-    return match.score_pairs(pairs, sections, _posting_vectors(spark, sf)).withColumn("overall_score", F.round("overall_score", 6))
+    return match.score_pairs(pairs, sections, _posting_vectors(spark, sf)).withColumn("overall_score", F.round(F.col("overall_score") + 1e-10, 6))
 
 
 @query(MATCH + "SELECT profile_id, count(*) AS uses FROM best WHERE rank = 1 AND overall_score >= 0.2 GROUP BY 1")
