@@ -5,9 +5,9 @@ agree in a band are candidates; their signatures are compared batch by batch, an
 the posterior probability that its similarity reaches the threshold falls below ``miss``. What survives is
 verified on the full sets. Links make components; a document is kept where it is its component's first.
 
-Groups of copies are not expanded. First every member of a bucket is compared with the bucket's smallest class
-only; buckets that lie within one component after that are done. In the others all pairs across components are
-compared, in blocks of bounded size.
+Groups of copies are not expanded. First every member of a bucket is compared with the bucket's head only, the class
+that meets most others; what it hasn't reached, with the head among that. Buckets that then lie within one component
+are done. In the others all pairs across components are compared, in blocks of bounded size, and verified in place.
 """
 
 from __future__ import annotations
@@ -164,16 +164,39 @@ def prune(pairs: DataFrame, signatures: DataFrame, need: np.ndarray) -> DataFram
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a BINARY, b BINARY")
 
 
-def across(members: DataFrame, need: np.ndarray) -> DataFrame:
-    """Surviving pairs (a, b) of different components within a bucket; ``members``: (bucket, band, key, class, component, signature).
+def stars(members: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket with its head, the class that shares most buckets with others.
 
-    A bucket is cut into blocks and every pair of its blocks is one group, so a group holds two blocks at most.
+    ``members``: (band, key, class, weight). One pair per member at most, however large a bucket is.
     """
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
-    parts = members.join(sizes, ["band", "key"]).withColumn("parts", F.expr(f"CAST(ceil(n / {BLOCK}) AS INT)"))
+    heads = members.groupBy("band", "key").agg(F.max_by("class", F.struct("weight", "class")).alias("head"))
+    return members.join(heads, ["band", "key"]).where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+
+
+def placed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` of buckets that hold several components, with ``component`` and that of the bucket's head."""
+    named = groups.select(F.col("node").alias("class"), "component")
+    rows = members.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows = stored(rows, "placed")
+    several = rows.groupBy("band", "key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.max_by("component", F.struct("weight", "class")).alias("head_component")).where("low <> high")
+    return rows.join(several.select("band", "key", "head_component"), ["band", "key"])
+
+
+def across(members: DataFrame, need: np.ndarray, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket.
+
+    ``members``: (band, key, class, component, signature, shingles). A bucket is cut into blocks and every pair of its
+    blocks is one group, so a group holds two blocks at most. Pairs that survive the comparison of signatures are
+    verified in place, likeliest first, unless links found before have joined their components; pairs never leave.
+    """
+    sizes = members.groupBy("band", "key").agg(F.expr(f"CAST(ceil(count(1) / {BLOCK}) AS INT)").alias("parts"))
+    parts = members.join(sizes, ["band", "key"])
     parts = parts.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     dealt = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "component", "signature")
+        "band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class",
+        "component", "signature", "shingles")
 
     def group(key, table):
         low, high = key[2].as_py(), key[3].as_py()
@@ -181,7 +204,7 @@ def across(members: DataFrame, need: np.ndarray) -> DataFrame:
         part = table.column("part").to_numpy()
         component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        out_a, out_b = [], []
+        found = []
         for i in left:
             j = right[(right > i) if low == high else slice(None)]
             j = j[component[j] != component[i]]
@@ -192,14 +215,36 @@ def across(members: DataFrame, need: np.ndarray) -> DataFrame:
                 j, matches = j[alive], matches[alive]
                 if not len(j):
                     break
-            out_a.extend([i] * len(j))
-            out_b.extend(j.tolist())
+            found += zip((-matches).tolist(), [int(i)] * len(j), j.tolist())
+        root = list(range(int(component.max()) + 1 if len(component) else 0))
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        sets = [np.frombuffer(s.as_py(), "<u8") for s in table.column("shingles")]
+        out_a, out_b = [], []
+        for _, i, j in sorted(found):
+            x, y = top(int(component[i])), top(int(component[j]))
+            if x != y and alike(sets[i], sets[j], percent):
+                root[x] = y
+                out_a.append(i)
+                out_b.append(j)
         name = table.column("class")
         return pa.table({"a": name.take(pa.array(out_a, pa.int64())), "b": name.take(pa.array(out_b, pa.int64()))})
 
     return dealt.groupBy("band", "key", "low", "high").applyInArrow(group, "a BINARY, b BINARY")
 
 
+def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    at = np.searchsorted(one, other)
+    same = int((one[np.minimum(at, len(one) - 1)] == other).sum())
+    return 100 * same >= percent * (len(one) + len(other) - same)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
     """Of stored pairs (a, b) those with 100 * intersection >= percent * union on the full sets (class, shingles).
 
@@ -218,11 +263,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 256)
         own = shingles[names.index(head)]
         hits = []
         for name, other in zip(names, shingles):
-            if name == head:
-                continue
-            at = np.searchsorted(own, other)
-            same = int((own[np.minimum(at, len(own) - 1)] == other).sum())
-            if 100 * same >= percent * (len(own) + len(other) - same):
+            if name != head and alike(own, other, percent):
                 hits.append(name)
         return pa.table({"a": pa.array([head] * len(hits), pa.binary()), "b": pa.array(hits, pa.binary())})
 
@@ -263,26 +304,22 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, miss: float
     classes = stored(rows.where("class IS NOT NULL").groupBy("class").agg(
         F.min("id").alias("first_id"), F.first("signature").alias("signature")), "classes")
     bands = stored(banded(classes), "bands")
-    buckets = bands.groupBy("band", "key").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(bands.join(buckets.select("band", "key", "head"), ["band", "key"]), "buckets")
-
-    involved = shared.select("class").distinct()
-    known = stored(classes.join(involved, "class"), "involved")
+    buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    meetings = stored(bands.join(buckets, ["band", "key"]), "meetings")
+    weights = meetings.groupBy("class").agg(F.sum("n").alias("weight"))
+    members = stored(meetings.join(weights, "class").select("band", "key", "class", "weight"), "members")
+    known = stored(classes.join(weights.select("class"), "class"), "involved")
     sets = stored(sets_of(docs, known.select("class", "first_id"), words, id_col, text_col), "sets")
 
-    stars = shared.where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    star_links = stored(verified(stored(prune(stars, known, need), "pairs"), sets, percent), "links")
-    groups = components(star_links)
-
-    # Buckets that still hold several components: all pairs across them.
-    placed = shared.join(groups, shared["class"] == groups["node"], "left").select(
-        "band", "key", "class", F.coalesce("component", "class").alias("component"))
-    placed = stored(placed, "placed")
-    open_buckets = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    members = placed.join(open_buckets.select("band", "key"), ["band", "key"]).join(known.select("class", "signature"), "class")
-    pairs = across(members, need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(stored(pairs, "pairs"), sets, percent)
-    links = stored(star_links.unionByName(more), "links")
+    # Stars: each member with its bucket's head, then those the head hasn't reached with the head among them.
+    links = stored(verified(stored(prune(stars(members), known, need), "pairs"), sets, percent), "links")
+    rest = placed(members, components(links)).where("component <> head_component").select("band", "key", "class", "weight")
+    more = verified(stored(prune(stars(stored(rest, "rest")), known, need), "pairs"), sets, percent)
+    links = stored(links.unionByName(more), "links")
+    # What buckets still hold several components: all that lies across them.
+    still = placed(members, components(links)).select("band", "key", "class", "component")
+    still = still.join(known.select("class", "signature"), "class").join(sets, "class")
+    links = stored(links.unionByName(across(still, need, percent)), "links")
     final = components(links)
 
     named = final.join(classes.select(F.col("class").alias("node"), "first_id"), "node")
