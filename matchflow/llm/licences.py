@@ -103,19 +103,19 @@ def matches(docs: DataFrame, templates: DataFrame, share: float = 0.8, id_col: s
     else:
         chunk = CHUNK
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), words_of(F.col(f"`{text_col}`")).alias("words")).where(f"size(words) >= {WORDS}")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), once(words_of(F.col(f"`{text_col}`"))).alias("words"))
     # Chunk starts are multiples of every block, so windows lie where they would in the whole text.
-    starts = F.expr(f"sequence(0, size(words) - {WORDS}, {chunk})")
+    starts = F.expr(f"CASE WHEN size(words) >= {WORDS} THEN sequence(0, size(words) - {WORDS}, {chunk}) END")
     chunks = rows.select("id", "words", F.explode(starts).alias("start")).select(
         "id", "start", F.slice("words", F.col("start") + 1, chunk + longest + WORDS - 1).alias("words"))
     hashed = chunks.select("id", "start", once(shingles_of(F.col("words"))).alias("sh"))
     # Without any shingle of any template no window can collide in any band.
-    near = hashed.where(F.exists("sh", lambda x: x.isin(known)) if known else F.lit(False))
-    windows = near.select("id", "start", "sh", F.explode(F.array(*[F.lit(b) for b in blocks or [1]])).alias("block")).select(
-        "id", "start", "sh", "block", F.explode(F.expr(f"sequence(0, least(size(sh), {chunk}) - 1, block)")).alias("at"))
-    windows = windows.select("id", "block", (F.col("start") + F.col("at")).alias("position"),
-                             once(F.array_distinct(F.slice("sh", F.col("at") + 1, F.col("block") * 3))).alias("window"))
-    windows = windows.where(F.exists("window", lambda x: x.isin(known)) if known else F.lit(False))
+    known_in = lambda array: F.exists(array, lambda x: x.isin(known)) if known else F.lit(False)
+    near = hashed.where(known_in(F.col("sh"))).select("id", "start", "sh", F.explode(F.array(*[F.lit(b) for b in blocks or [1]])).alias("block"))
+    cut = F.transform(F.expr(f"sequence(0, least(size(sh), {chunk}) - 1, block)"), lambda at: F.struct(
+        (F.col("start") + at).alias("position"), F.slice("sh", at + 1, F.col("block") * 3).alias("window")))
+    windows = near.select("id", "block", F.inline(F.filter(cut, lambda w: known_in(w["window"])))).withColumn("window", F.array_distinct("window"))
+    windows = windows.select("id", "block", "position", once(F.col("window")).alias("window"))
     banded = windows.select("*", F.posexplode(lowest(F.col("window"))).alias("band", "value"))
     keys = wanted.select("license_id", "wanted", "t", F.col("block"), F.posexplode(lowest(F.col("wanted"))).alias("band", "value"))
     found = banded.join(F.broadcast(keys), ["block", "band", "value"])
