@@ -8,12 +8,13 @@ part of the sample that training hasn't seen calibrates the probabilities.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -128,6 +129,11 @@ def fold(id_col: str, parts: int) -> F.Column:
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % parts
 
 
+def spread_hash(id_col: str) -> F.Column:
+    """The id's hash as a number from 0 to 1."""
+    return F.expr(f"CAST(shiftrightunsigned(xxhash64({id_col}), 11) AS DOUBLE) / {float(1 << 53)}D")
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """(documents by feature, documents) over all rows of (text); one row per feature and task moves."""
 
@@ -151,29 +157,32 @@ def fit(docs: DataFrame, per_label: int = 600, id_col: str = "doc_id", text_col:
         parts: int = 4, held: int = 2) -> LanguageModel:
     """A model from the rows whose crc32 of the id, modulo ``parts``, is not ``held``.
 
-    The sample takes at most ``per_label`` documents of every label, whole, those whose ids hash lowest.
+    The sample takes at most ``per_label`` documents of every label, whole: those whose ids hash below the share that gives
+    about so many.
     Rows without id, text, letter or label teach nothing. Without any labelled row the model has no labels.
     """
     rows = docs.where(fold(id_col, parts) != held).select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label"))
     rows = rows.where("text IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
     df, n = document_frequencies(rows.select("text"))
-    order = Window.partitionBy("label").orderBy("h", "id")
-    chosen = (rows.select("id", "label", F.xxhash64("id").alias("h"))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label))
+    share = F.lit(0.0)
+    for label, m in rows.groupBy("label").count().collect():  # as many rows as there are labels
+        share = F.when(F.col("label") == label, F.lit(per_label / m)).otherwise(share)
+    # A repeated id is one document of the sample, however often it is there.
+    picked = rows.withColumn("h", spread_hash("id")).where(F.col("h") < share).dropDuplicates(["id", "label"])
 
     def run(batches):
         for batch in batches:
             keep = [i for i, t in enumerate(batch.column("text")) if has_letter(t.as_py())]
             found = [ngram_counts(batch.column("text")[i].as_py()) for i in keep]
             yield pa.RecordBatch.from_arrays([
-                batch.column("label").take(pa.array(keep, pa.int64())), batch.column("id").cast(pa.string()).take(pa.array(keep, pa.int64())),
+                *[batch.column(c).take(pa.array(keep, pa.int64())) for c in ("label", "h")],
                 pa.array([w.astype("<i4").tobytes() for w, _ in found], pa.binary()),
-                pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], ["label", "id", "where", "counts"])
+                pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], ["label", "h", "where", "counts"])
 
-    picked = rows.join(chosen.select("id", "label"), ["id", "label"]).select("label", "id", "text")
-    sample = picked.mapInArrow(run, "label STRING, id STRING, where BINARY, counts BINARY").collect()  # bounded by per_label
-    sample = sorted(sample, key=lambda r: (r["label"], r["id"], r["where"]))
+    found = picked.select("label", "h", "text").mapInArrow(run, "label STRING, h DOUBLE, where BINARY, counts BINARY").collect()
+    found = sorted(found, key=lambda r: (r["label"], r["h"], r["where"]))
+    sample = [r for _, own in itertools.groupby(found, key=lambda r: r["label"]) for r in itertools.islice(own, per_label)]
     labels = sorted({r["label"] for r in sample})
     idf = np.log((1 + n) / (1 + df)) + 1
     model = LanguageModel(labels, idf.astype(np.float32), np.zeros((FEATURES, len(labels)), np.float32), np.zeros(len(labels)))

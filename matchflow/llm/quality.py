@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from .common import process_memo
-from .language import fold
+from .common import process_memo, stored
+from .language import fold, spread_hash
 
 #: Tokens are hashed into so many rows, vectors have so many dimensions, an index vector so many entries of +1 or -1.
 TOKENS, DIMS, ENTRIES = 1 << 14, 32, 4
 WINDOW = 2
 REMEMBERED = 400_000
 #: Tokens looked at together.
-PIECE = 250_000
+PIECE = 100_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 FEATURES = 2 * DIMS + 2
 
@@ -104,7 +104,7 @@ def pooled(text: str, vectors: np.ndarray) -> np.ndarray:
     if len(rows):
         total, squares = np.zeros(DIMS), np.zeros(DIMS)
         for at in range(0, len(rows), PIECE):
-            v = vectors[rows[at:at + PIECE]]
+            v = vectors[rows[at:at + PIECE]].astype(float)
             total += v.sum(axis=0)
             squares += (v * v).sum(axis=0)
         mean = total / len(rows)
@@ -171,7 +171,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate
     net.b2 = float(params[3][0])
     if len(aside):
         logits = net.logits(x[aside])
-        grid = np.exp(np.linspace(np.log(0.2), np.log(8), 60))
+        grid = np.exp(np.linspace(np.log(0.5), np.log(8), 60))
         loss = [np.mean(np.logaddexp(0, logits / s) - y[aside] * logits / s) for s in grid]
         net.temperature = float(grid[int(np.argmin(loss))])
     return net
@@ -181,11 +181,13 @@ def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
         parts: int = 5, held: int = 0) -> Network | None:
     """A network from labelled rows whose crc32 of the id, modulo ``parts``, is not ``held``; None without such rows.
 
-    At most ``sample`` rows are taken, those whose ids hash lowest. Labels other than 0 and 1 teach nothing.
+    At most ``sample`` rows are taken, those whose ids hash below the share that gives about so many. Labels other than 0 and 1 teach nothing.
     """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("y IN (0, 1)")
-    rows = (features.select(F.col(f"`{id_col}`").alias("id"), "features").where(fold("id", parts) != held)
-            .join(marks, "id").select("id", "y", "features", F.xxhash64("id").alias("h")).orderBy("h", "id", "y", "features").limit(sample).collect())
+    joined = features.select(F.col(f"`{id_col}`").alias("id"), "features").where(fold("id", parts) != held).join(marks, "id")
+    joined = stored(joined.select("y", "features", spread_hash("id").alias("h")).distinct(), "labelled")
+    rows = joined.where(F.col("h") < F.lit(sample / max(1, joined.count()))).collect()
+    rows = sorted(rows, key=lambda r: (r["h"], r["y"], r["features"]))[:sample]
     if not rows:
         return None
     x = np.stack([np.frombuffer(r["features"], np.float32) for r in rows]).astype(float)
