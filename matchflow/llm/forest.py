@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Rows in a part, queries in a block.
-PART_ROWS, QUERY_ROWS = 16_384, 1_024
+PART_ROWS, QUERY_ROWS = 16_384, 4_096
 TREES, LENGTH = 48, 24
 
 
