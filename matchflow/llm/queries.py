@@ -101,3 +101,19 @@ FROM win WHERE containment >= 0.8 GROUP BY doc_id, license_id
 def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
     """Licence notices in all documents."""
     return licences.matches(table(spark, folder, "documents"), licences.notices(spark))
+
+
+_SHORT = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licences.SHORT_NOTICES.items()))
+
+
+@query(f"""
+WITH notice AS (SELECT license_id, w, len(w) AS width FROM (SELECT license_id, {_WORDS} AS w FROM (VALUES {_SHORT}) AS t(license_id, text))),
+     doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     spot AS (SELECT doc_id, w, unnest(range(0, len(w))) AS position FROM doc)
+SELECT doc_id, license_id, CAST(1 AS DOUBLE) AS containment, min(greatest(position - 2, 0)) AS position
+FROM spot JOIN notice ON spot.w[position + 1] = notice.w[1] AND spot.w[position + 1:position + width] = notice.w
+GROUP BY doc_id, license_id
+""")
+def op7_short_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices of fewer than five words in all documents."""
+    return licences.matches(table(spark, folder, "documents"), licences.short_notices(spark))

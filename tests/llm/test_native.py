@@ -119,6 +119,29 @@ def test_licences_of_odd_documents(spark, odd, none):
         ("1", "mit", 0), ("None", "mit", 29_998)]
 
 
+def test_short_templates_match_as_a_whole(spark, make_docs, none, monkeypatch):
+    monkeypatch.setattr(licences, "CHUNK", 16)
+    docs = make_docs([(1, "All rights reserved."), (2, "x " * 14 + "ALL RIGHTS reserved and more words after it"), (3, "all other rights reserved"),
+                      (4, "Mine"), (5, "y " * 40 + "mine"), (6, "SPDX-License-Identifier: MIT"), (None, "all rights, reserved")])
+    templates = [("all", "All rights reserved."), ("one", "mine"), ("five", "and more words after it"), ("gap", None), ("empty", " . ")]
+    templates = spark.createDataFrame(templates + sorted(licences.SHORT_NOTICES.items()), "license_id STRING, text STRING")
+    got = {(r["doc_id"], r["license_id"]): (r["containment"], r["position"]) for r in licences.matches(docs, templates).collect()}
+    # The window of three that has it first.
+    assert got == {(1, "all"): (1, 0), (1, "all-rights-reserved"): (1, 0), (2, "all"): (1, 12), (2, "all-rights-reserved"): (1, 12), (2, "five"): (1, 15),
+                   (4, "one"): (1, 0), (5, "one"): (1, 38), (6, "spdx-mit"): (1, 0), (None, "all"): (1, 0), (None, "all-rights-reserved"): (1, 0)}
+    assert licences.matches(none, templates).count() == 0
+
+
+def test_later_parts_of_licences_are_found(spark, make_docs):
+    """Every paragraph is found in a document that has it alone."""
+    alone = sorted(k for k in licences.NOTICES if "-text-" in k)
+    assert {k.split("-text-")[0] for k in alone} >= {"apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc-by-sa-4.0", "gpl-3.0", "isc", "lgpl-3.0", "mit", "unlicense"}
+    some = [k for k in alone if k.startswith(("mit", "isc", "apache", "gpl-3.0-text-04", "unlicense"))]
+    got = {(r["doc_id"], r["license_id"]) for r in licences.matches(make_docs([(i, "words before it " + licences.NOTICES[k]) for i, k in enumerate(some)]), licences.notices(spark)).collect()}
+    assert {(i, k) for i, k in enumerate(some)} <= got
+    assert not any("'" in text for text in licences.NOTICES.values())
+
+
 def test_collision_probability():
     # Window similarity at the wanted containment: 0.8 t of 3 blocks and what the template has besides, t above one block.
     worst = min(0.8 * t / (3 * b + 0.2 * t) for b in (1, 2, 4, 8, 16, 32, 64) for t in range(b + 1, 2 * b + 1))
