@@ -29,10 +29,16 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; rows that share id and text are one document."""
-    kept = minhash.near_copies(docs, words=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of each group of near copies: that of the smallest id, rows without an id last.
+
+    Rows are told apart by a number, so ids may be repeated or null. Rows without words that share id and text are one.
+    """
+    rows = stored(docs.withColumn("row_no", F.monotonically_increasing_id()), "numbered")
+    groups = minhash.near_copies(rows, words=5, id_col="row_no").select("row_no", "component_id")
+    ranked = groups.join(rows.select("row_no", "doc_id"), "row_no")
+    kept = ranked.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("first")).select("first.row_no")
+    return rows.join(kept, "row_no", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

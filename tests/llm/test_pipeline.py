@@ -46,3 +46,18 @@ def test_rows_without_id_and_repeated(spark):
     row = docs.orderBy("doc_id").first()
     some = spark.createDataFrame([row, row, (None, "a text of its own with enough words", "en", "s", 1), (None, None, None, None, None)], docs.schema)
     assert corpus_pipeline.drop_near_copies(spark, some, SF).count() == 3
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    near = lambda c: text(c) + " more"
+    rows = [(2, near("a")), (1, text("a")), (2, text("b")),  # an id with a copy and a text of its own
+            (None, text("c")), (None, near("a")), (None, near("b")),  # without id: one kept, copies of documents with ids
+            (None, text("d")), (None, near("d")), (None, text("d")),  # copies among themselves
+            (3, text("e")), (3, near("e")), (3, text("e")), (4, None), (4, None), (4, ""), (5, "")]
+    some = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, some, SF).collect()]
+    groups = sorted((str(i), (t or "-")[0]) for i, t in got)
+    assert groups == [("1", "a"), ("2", "b"), ("3", "e"), ("4", "-"), ("4", "-"), ("5", "-"), ("None", "c"), ("None", "d")]
+    assert (2, text("b")) in got and (1, text("a")) in got
