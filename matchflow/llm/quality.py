@@ -62,26 +62,33 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
         positions, signs = index_vectors()
         sums = np.zeros(TOKENS * DIMS)
 
-        def add(rows: np.ndarray) -> None:
+        def add(rows: np.ndarray, times: float = 1.0) -> None:
             for shift in range(1, WINDOW + 1):
                 for here, there in ((rows[shift:], rows[:-shift]), (rows[:-shift], rows[shift:])):
                     real = (here >= 0) & (there >= 0)
                     here, there = here[real], there[real]
                     for e in range(ENTRIES):
-                        np.add(sums, np.bincount(here * DIMS + positions[there, e], signs[there, e], TOKENS * DIMS), out=sums)
+                        np.add(sums, np.bincount(here * DIMS + positions[there, e], times * signs[there, e], TOKENS * DIMS), out=sums)
 
         gap = np.full(WINDOW, -1, np.int32)  # keeps documents apart
         waiting, size = [], 0
         for batch in batches:
             for text in batch.column("text"):
                 rows = token_rows(text.as_py())
-                # A very long text goes in pieces that share the window at their seams only once.
-                for at in range(0, len(rows), PIECE):
-                    waiting += [rows[at:at + PIECE], gap]
-                    size += len(waiting[-2]) + WINDOW
+                # A very long text goes in pieces. The next one starts with the last rows of the one before, less their
+                # mutual pairs, so that neighbours across the seam count once.
+                for end in range(PIECE, len(rows) + PIECE, PIECE):
+                    waiting.append(rows[end - PIECE:end])
+                    size += len(waiting[-1])
+                    if end >= len(rows):
+                        waiting.append(gap)
+                        size += WINDOW
                     if size >= PIECE:
                         add(np.concatenate(waiting))
                         waiting, size = [], 0
+                        if end < len(rows):
+                            waiting = [rows[max(0, end - WINDOW):end]]
+                            add(waiting[0], -1.0)
         if waiting:
             add(np.concatenate(waiting))
         sums = sums.reshape(TOKENS, DIMS)

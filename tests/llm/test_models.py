@@ -131,3 +131,12 @@ def test_quality_of_odd_texts(spark, odd, none):
 def test_one_label_only():
     x = np.random.default_rng(1).standard_normal((30, quality.FEATURES))
     assert (quality.train(x, np.ones(30)).scores(x) > 0.9).all()
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7])
+def test_word_vectors_in_pieces(spark, monkeypatch, piece):
+    """Neighbours across the seams of a long text count as within it, and texts stay apart."""
+    texts = spark.createDataFrame([("a b c d e f g h i j k l m n o p q r s t u v w",), ("x a y",), ("",), ("z",), ("b c d e f g h",)], "text STRING").coalesce(1)
+    whole = quality.word_vectors(texts)
+    monkeypatch.setattr(quality, "PIECE", piece)
+    assert np.abs(whole).sum() > 0 and np.array_equal(quality.word_vectors(texts), whole)
