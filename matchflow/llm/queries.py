@@ -5,11 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..plans.views import table
-from . import forest, language, licences, minhash, near_vectors, packing, pieces, quality, sharding, tokens
+from . import conversations, forest, language, licences, minhash, near_vectors, packing, pieces, quality, sharding, tokens
 from .common import shared_path, stored
 
 
@@ -79,6 +78,12 @@ def op3_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, folder, "embeddings"))
 
 
+@query()
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage to all conversations, and its cheapest repair."""
+    return conversations.repaired(conversations.damaged(table(spark, folder, "conversations")), present_col="present")
+
+
 _NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licences.NOTICES.items()))
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _SHINGLES = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
