@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..plans.views import table
-from . import conversations, forest, language, licences, minhash, near_vectors, packing, pieces, quality, sharding, tokens, whitening
+from . import conversations, forest, language, language_model, licences, minhash, near_vectors, packing, pieces, quality, sharding, tokens, whitening
 from .common import shared_path, stored
 
 
@@ -78,6 +78,12 @@ def op3_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, folder, "embeddings"))
 
 
+@query()
+def op11_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a model of nine tenths of them."""
+    return language_model.corpus_scores(table(spark, folder, "documents"), held_out=language.fold("doc_id", 10) == 0)
+
+
 @query()
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """All usable vectors on the first eight principal directions, with unit covariance."""
