@@ -2,8 +2,9 @@
 
 Words are counted over all training documents. The commonest words (a bounded number) have ids of their own and lie in
 classes and subclasses; all other words are one outcome of the model and share its mass by their counts.
-P(word) = P(class | context) P(subclass | class, context) P(word | subclass), where the two softmaxes have a row of weights
-for each hashed feature: the word before, the one before that (a skip), and both together.
+P(word) = P(class | context) P(subclass | class, context) P(word | subclass), where the first softmax has a row of weights
+for each hashed feature: the word before, the one before that (a skip), and both together; the second one has a row for each
+class with the word before.
 
 Tasks train on their documents from common weights; the rows they have touched are averaged by how often they were
 touched, epoch after epoch. What grows with the corpus, counts of rare words above all, stays in Spark tables and meets
@@ -28,14 +29,14 @@ from .language import fold
 HEAD, KNOWN = 65_534, 262_144
 #: Ids of all other words together and of the end of a text; words follow.
 OTHER, END = 0, 1
-CLASSES = SUBCLASSES = 32
+CLASSES = SUBCLASSES = 16
 #: Rows of weights for classes and for subclasses, as powers of two (at most 16).
 BITS = 16
 #: Neighbours told apart on each side when words are dealt into classes.
-NEIGHBOURS = 32
+NEIGHBOURS = 16
 BATCH = 8192
 #: Words a worker remembers before it starts anew; bytes of text it splits at a time; change speed only.
-REMEMBERED, PIECE = 400_000, 1 << 20
+REMEMBERED, PIECE = 200_000, 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: What a count is raised by.
 EXTRA = 0.1
@@ -54,7 +55,7 @@ def pieces(raw: bytes):
         at = stop
 
 
-def slices(batch, some: int = 4 << 20):
+def slices(batch, some: int = 1 << 20):
     """(first row, texts as small-letter bytes) for stretches of a batch of bounded size."""
     texts = batch.column("text").cast(pa.binary())
     start, size, out = 0, 0, []
@@ -228,6 +229,7 @@ def neighbour_counts(training: DataFrame, ids: int) -> np.ndarray:
     chunks = -(-ids // chunk)
 
     def run(batches):
+        process_memo("codes").clear()
         total = np.zeros(chunks * chunk * width, np.int64)
         for _, _, _, flat, _ in runs_of_ids(batches):
             at = flat.astype(np.int64) * width
@@ -293,8 +295,8 @@ class Model:
         self.bias_one[total.reshape(CLASSES, SUBCLASSES).sum(axis=1) == 0] = -1e9
         self.bias_one -= self.bias_one.max()
         every = np.arange(HEAD + 2)
-        self.salted = [mixed(every, 1000 + 77_777 * k) for k in range(6)]
-        self.of_class = [mixed(np.arange(CLASSES), 9_999_991 * (k + 1)) for k in range(2)]
+        self.salted = [mixed(every, 1000 + 77_777 * k) for k in range(5)]
+        self.of_class = mixed(np.arange(CLASSES), 9_999_991)
         self.weights = [np.zeros((1 << BITS, CLASSES), np.float32), np.zeros((1 << BITS, SUBCLASSES), np.float32)]
 
     def contexts(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,31 +314,41 @@ class Model:
         pair = (s[2][before] ^ s[3][skipped]) * np.uint32(0x9E3779B1)
         return [(r >> down).astype(np.uint16) for r in (s[0][before], s[1][skipped], pair)]
 
-    def rows_two(self, before, skipped, one) -> list[np.ndarray]:
-        s, down = self.salted, np.uint32(32 - BITS)
-        return [(((s[4 + k][x] ^ self.of_class[k][one]) * np.uint32(0x85EBCA6B)) >> down).astype(np.uint16) for k, x in enumerate((before, skipped))]
+    def rows_two(self, before, one) -> list[np.ndarray]:
+        row = (self.salted[4][before] ^ self.of_class[one]) * np.uint32(0x85EBCA6B)
+        return [(row >> np.uint32(32 - BITS)).astype(np.uint16)]
 
     @staticmethod
-    def softmax(weights, rows, bias) -> np.ndarray:
-        z = weights[rows[0]]
+    def logits(weights, rows, bias) -> np.ndarray:
+        z = weights.take(rows[0], axis=0)
         for r in rows[1:]:
-            z += weights[r]
+            z += weights.take(r, axis=0)
         z += bias
-        z -= z.max(axis=1, keepdims=True)
+        # Far below where the exponential runs over.
+        return np.minimum(z, 60, out=z)
+
+    @staticmethod
+    def softmax(z: np.ndarray) -> np.ndarray:
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z *= np.reciprocal(np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-30))[:, None]
         return z
 
+    @staticmethod
+    def log_share(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Logarithm of the softmax at one place of each row."""
+        own = z[np.arange(len(z)), of].astype(float)
+        return own - np.log(np.maximum(np.exp(z) @ np.ones(z.shape[1]), 1e-30))
+
     def log_probabilities(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of each id."""
         before, skipped = self.contexts(flat, starts)
         out = np.empty(len(flat))
         for at in range(0, len(flat), BATCH):
             w, b, s = flat[at:at + BATCH], before[at:at + BATCH], skipped[at:at + BATCH]
-            one, two, place = self.one[w], self.two[w], np.arange(len(w))
-            p = self.softmax(self.weights[0], self.rows_one(b, s), self.bias_one)[place, one]
-            q = self.softmax(self.weights[1], self.rows_two(b, s, one), self.bias_two[one])[place, two]
-            out[at:at + BATCH] = np.log(np.maximum(p, 1e-30)) + np.log(np.maximum(q, 1e-30)) + self.within[w]
+            one = self.one[w]
+            first = self.log_share(self.logits(self.weights[0], self.rows_one(b, s), self.bias_one), one)
+            second = self.log_share(self.logits(self.weights[1], self.rows_two(b, one), self.bias_two.take(one, axis=0)), self.two[w])
+            out[at:at + BATCH] = first + second + self.within[w]
         return out
 
 
@@ -355,11 +367,12 @@ class Trainer:
         row = row[order]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         row = row[first]
-        g = np.add.reduceat(g[order % len(g)], first, axis=0)
+        g = np.add.reduceat(g.take(order % len(g) if len(rows) > 1 else order, axis=0), first, axis=0)
         self.touched[level][row] += np.diff(np.r_[first, len(order)])
-        steps = self.steps[level]
-        steps[row] += (g * g).sum(axis=1)
-        self.weights[level][row] -= g * (self.rate / np.sqrt(steps[row]))[:, None]
+        size = self.steps[level][row] + np.einsum("ij,ij->i", g, g)
+        self.steps[level][row] = size
+        g *= (self.rate / np.sqrt(size))[:, None]
+        self.weights[level][row] -= g
 
     def learn(self, flat: np.ndarray, starts: np.ndarray) -> None:
         m = self.model
@@ -368,11 +381,11 @@ class Trainer:
             w, b, s = flat[at:at + BATCH], before[at:at + BATCH], skipped[at:at + BATCH]
             one, place = m.one[w], np.arange(len(w))
             rows = m.rows_one(b, s)
-            g = m.softmax(self.weights[0], rows, m.bias_one)
+            g = m.softmax(m.logits(self.weights[0], rows, m.bias_one))
             g[place, one] -= 1
             self.update(0, rows, g)
-            rows = m.rows_two(b, s, one)
-            g = m.softmax(self.weights[1], rows, m.bias_two[one])
+            rows = m.rows_two(b, one)
+            g = m.softmax(m.logits(self.weights[1], rows, m.bias_two.take(one, axis=0)))
             g[place, m.two[w]] -= 1
             self.update(1, rows, g)
 
@@ -387,6 +400,7 @@ def train(training: DataFrame, model: Model, epochs: int, rate: float, calm: flo
 
     for _ in range(epochs):
         def run(batches):
+            process_memo("codes").clear()
             trainer = Trainer(model, rate, calm)
             for _, _, _, flat, starts in runs_of_ids(batches):
                 trainer.learn(flat, starts)
@@ -425,7 +439,7 @@ def scored(rows: DataFrame, model: Model, counts: np.ndarray, other_mass: float)
     return rows.select(*kept, "ids").mapInArrow(run, f"{columns}, fixed DOUBLE")
 
 
-def corpus_scores(docs: DataFrame, held_out=None, epochs: int = 1, rate: float = 0.4, calm: float = 30.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def corpus_scores(docs: DataFrame, held_out=None, epochs: int = 1, rate: float = 0.8, calm: float = 30.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document.
 
     ``held_out`` is a condition on ``docs``; what isn't held out is learned from. Scores are base-10 logarithms: ``base_score``

@@ -69,7 +69,7 @@ def test_rare_words_by_join(spark, make_docs, small):
 def test_probabilities_sum_to_one():
     """Over all outcomes after one context."""
     counts = np.array([5.0, 9, 4, 4, 2, 1])
-    model = lm.Model(counts, 3.3, np.array([1, 1, 2, 31, 2]))
+    model = lm.Model(counts, 3.3, np.array([1, 1, 2, 15, 2]))
     model.weights = [np.random.default_rng(k).normal(size=w.shape).astype(np.float32) for k, w in enumerate(model.weights)]
     total = 0.0
     for w in range(7):
