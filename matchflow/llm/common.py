@@ -7,6 +7,7 @@ import types
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,35 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has made, once all that was made of them is stored itself.
+
+    The driver's garbage collection then lets Spark clear the shuffles of jobs that nothing refers to any more.
+    """
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        sc._jvm.System.gc()
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` that is different for every row and the same however often the rows are read.
+
+    Rows of files are told apart by file and position; others are numbered and stored first.
+    """
+    try:
+        out = docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+        out.schema  # is analysed here
+        return out
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
 
 
 def process_memo(name: str) -> dict:

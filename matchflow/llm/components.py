@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
             low.select("u", F.col("low").alias("v")))
-        pairs = stored(small.where("u <> v").distinct(), "links")
+        before, pairs = pairs, stored(small.where("u <> v").distinct(), "links")
+        forget(before)
         # A fingerprint of the set of links tells whether a round has changed it.
         now = pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(CAST(hash(u, v) AS BIGINT))")).first()
         if now == last:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, process_memo, stored
+from .common import forget, ids_and_texts, process_memo, stored
 from .components import components
 
 #: Words a worker remembers before it starts anew; changes speed only.
@@ -176,12 +176,13 @@ def stars(members: DataFrame) -> DataFrame:
 def placed(members: DataFrame, groups: DataFrame) -> DataFrame:
     """``members`` of buckets that hold several components, with ``component`` and that of the bucket's head."""
     named = groups.select(F.col("node").alias("class"), "component")
-    rows = members.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rows = stored(rows, "placed")
+    rows = stored(members.join(named, "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
     several = rows.groupBy("band", "key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.max_by("component", F.struct("weight", "class")).alias("head_component")).where("low <> high")
-    return rows.join(several.select("band", "key", "head_component"), ["band", "key"])
+    out = stored(rows.join(several.select("band", "key", "head_component"), ["band", "key"]), "spread")
+    forget(rows)
+    return out
 
 
 def across(members: DataFrame, need: np.ndarray, percent: int) -> DataFrame:
@@ -300,34 +301,47 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, miss: float
     * empty table: no rows; other columns are not looked at; very long texts are taken whole
     """
     need = least_matches(percent / 100, miss)
-    rows = stored(signed(docs, words, id_col, text_col), "signed")
-    classes = stored(rows.where("class IS NOT NULL").groupBy("class").agg(
+    # Signatures lie in one table, buckets in one; what is no longer needed goes at once.
+    whole = stored(signed(docs, words, id_col, text_col), "signed")
+    classes = stored(whole.where("class IS NOT NULL").groupBy("class").agg(
         F.min("id").alias("first_id"), F.first("signature").alias("signature")), "classes")
+    rows = stored(whole.select("id", "class", "n_shingles"), "rows")
+    forget(whole)
     bands = stored(banded(classes), "bands")
     buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     meetings = stored(bands.join(buckets, ["band", "key"]), "meetings")
+    forget(bands)
     weights = meetings.groupBy("class").agg(F.sum("n").alias("weight"))
     members = stored(meetings.join(weights, "class").select("band", "key", "class", "weight"), "members")
-    known = stored(classes.join(weights.select("class"), "class"), "involved")
-    sets = stored(sets_of(docs, known.select("class", "first_id"), words, id_col, text_col), "sets")
+    forget(meetings)
+    involved = stored(classes.join(members.select("class").distinct(), "class").select("class", "first_id"), "involved")
+    sets = stored(sets_of(docs, involved, words, id_col, text_col), "sets")
+    forget(involved)
 
     # Stars: each member with its bucket's head, then those the head hasn't reached with the head among them.
-    links = stored(verified(stored(prune(stars(members), known, need), "pairs"), sets, percent), "links")
-    rest = placed(members, components(links)).where("component <> head_component").select("band", "key", "class", "weight")
-    more = verified(stored(prune(stars(stored(rest, "rest")), known, need), "pairs"), sets, percent)
-    links = stored(links.unionByName(more), "links")
+    pairs = stored(prune(stars(members), classes, need), "pairs")
+    links = stored(verified(pairs, sets, percent), "links")
+    forget(pairs)
+    reached = components(links)
+    rest = placed(members, reached)
+    pairs = stored(prune(stars(rest.where("component <> head_component").select("band", "key", "class", "weight")), classes, need), "pairs")
+    before, links = links, stored(links.unionByName(verified(pairs, sets, percent)), "links")
+    forget(rest, pairs, before)
     # What buckets still hold several components: all that lies across them.
-    still = placed(members, components(links)).select("band", "key", "class", "component")
-    still = still.join(known.select("class", "signature"), "class").join(sets, "class")
-    links = stored(links.unionByName(across(still, need, percent)), "links")
+    reached = components(links)
+    rest = placed(members, reached)
+    still = rest.select("band", "key", "class", "component").join(classes.select("class", "signature"), "class").join(sets, "class")
+    before, links = links, stored(links.unionByName(across(still, need, percent)), "links")
+    forget(before, members, rest, sets)
     final = components(links)
 
     named = final.join(classes.select(F.col("class").alias("node"), "first_id"), "node")
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(first, "component").select(F.col("node").alias("class"), "component_id")
-    owners = classes.join(linked, "class", "left").select(
-        "class", F.coalesce("component_id", "first_id").alias("component_id"))
-    answer = rows.select("id", "class", "n_shingles").join(owners, "class", "left")
+    owners = stored(classes.join(linked, "class", "left").select(
+        "class", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
+    forget(classes, links)
+    answer = rows.join(owners, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return answer.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id")))

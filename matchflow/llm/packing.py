@@ -16,19 +16,23 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids_and_texts, process_memo, stored
 
-#: Words a worker remembers before it starts anew; changes speed only.
-REMEMBERED = 700_000
+#: Words a worker remembers of late, and as many of before; changes speed only.
+REMEMBERED = 350_000
 BLOCK_ITEMS = 4096
 SPECIAL = "<|endoftext|>"
 CONTROLS = re.compile("[\x1c-\x1f]")
 #: Below it all Unicode tables agree on what is a letter.
 LAST_LETTER = "\u0530"
 WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Small Latin letters, each one character in every normal form, and the signs that may stand behind them.
+LATIN = "".join(map(chr, [*range(97, 123), *range(223, 247), *range(248, 256)]))
+SIGNS = "".join(chr(c) for c in range(33, 127) if chr(c) != "'" and not chr(c).isalnum())
 
 
 class WordIds:
@@ -52,6 +56,7 @@ class WordIds:
         rest = [b for b in range(256) if b not in printable]
         self.byte_level = {b: chr(256 + i) for i, b in enumerate(rest)}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def plain(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -77,43 +82,94 @@ class WordIds:
             else:
                 self.known.update((w, raw[(a + 1) * 4:b * 4]) for w, a, b in zip(part, cuts.tolist(), cuts[1:].tolist()))
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         letters, others, parted = set(), [], []
-        for word in new:
+        latin = pc.match_substring_regex(pa.array(new, pa.string()), f"^[{LATIN}]+$").to_pylist()
+        for word, plain in zip(new, latin):
+            if plain:
+                letters.add(word)
+                continue
             if max(word) >= LAST_LETTER or not (word.isascii() or unicodedata.is_normalized("NFC", word)) or word != word.lower():
                 others.append(word)
+                continue
             elif word.isalpha():
-                letters.add(word)
+                parts = (word, "")
             elif (m := WORD_AND_SIGNS.fullmatch(word)) and m[1].isalpha():
-                parted.append((word, m[1], m[2]))
-                letters.add(m[1])
-                if m[2] not in self.known:
-                    self.known[m[2]] = self.plain(m[2]).tobytes()
+                parts = m.groups()
             else:
                 others.append(word)
-        self.learn_words([w for w in letters if w not in self.known])
+                continue
+            letters.add(parts[0])
+            if parts[1]:
+                parted.append((word, *parts))
+                if parts[1] not in self.known:
+                    self.known[parts[1]] = self.plain(parts[1]).tobytes()
+        self.learn_words(self.unknown(letters))
         self.learn_others(others)
         known = self.known
         for word, a, b in parted:
             known[word] = known[a] + known[b]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = []
+    def unknown(self, words) -> list[str]:
+        """Which of the words aren't known; those known before become known of late."""
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        if before:
+            known.update({w: before[w] for w in new if w in before})
+            new = [w for w in new if w not in known]
+        return new
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text).
+
+        Words are split and told apart by Arrow, so that only distinct ones are looked up here.
+        """
+        lower = []
         for text in texts:
             # Lower case first saves work; not where the order of the tokenizer's own steps could show.
             if not ("Σ" in text or "İ" in text or "<|" in text) and unicodedata.is_normalized("NFC", text):
                 text = text.lower()
-            # str.split() also splits at four control characters that the tokenizer keeps.
-            words.append(text.split() if not CONTROLS.search(text) else [w for w in re.split("[ \t\n\r]+", text) if w])
-        every = set().union(*words)
-        new = every.difference(self.known)
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known.clear()
-            new = every
-        if new:
+            lower.append(text)
+        if any(map(CONTROLS.search, lower)):
+            # White space in general includes four control characters that the tokenizer keeps.
+            lists = pa.array([t.split() if not CONTROLS.search(t) else re.split("[ \t\n\r]+", t) for t in lower], pa.large_list(pa.large_string()))
+        else:
+            lists = pc.utf8_split_whitespace(pa.array(lower, pa.large_string()))
+        of_text = np.asarray(lists.value_lengths()).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary
+        # Letters and signs behind them are looked up apart: there are fewer of each than of both together.
+        stems = pc.utf8_rtrim(distinct, SIGNS)
+        parted = pc.match_substring_regex(stems, f"^[{LATIN}]+$")
+        stems = pc.if_else(parted, stems, distinct).dictionary_encode()
+        signs = pc.if_else(parted, pc.utf8_ltrim(distinct, LATIN), "").dictionary_encode()
+        units = stems.dictionary.to_pylist(), signs.dictionary.to_pylist()
+        if len(self.known) + 2 * len(units[0]) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        self.known[""] = b""
+        if new := self.unknown([*units[0], *units[1]]):
             self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        parts = [*map(self.known.__getitem__, units[0]), *map(self.known.__getitem__, units[1])]
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        both = np.stack([np.asarray(stems.indices), np.asarray(signs.indices) + len(units[0])], axis=1).ravel()
+        pool, sizes = gathered(pool, np.fromiter(map(len, parts), np.int64, len(parts)) // 4, both)
+        ids, size = gathered(pool, sizes.reshape(-1, 2).sum(axis=1), np.asarray(words.indices))
+        ends = np.cumsum(size)
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(of_text)])]
+        return ids, np.diff(upto)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        ids, lengths = self.flat(texts)
+        cuts = np.concatenate([[0], np.cumsum(lengths)])
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def gathered(pool: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``pool``, which holds stretches of these sizes, in the order ``at``, and their sizes."""
+    size = sizes[at]
+    ends = np.cumsum(size)
+    first = np.cumsum(sizes) - sizes
+    return pool[np.repeat(first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
 def word_ids(data: str, digest: str) -> WordIds:
@@ -132,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
     rows = ids_and_texts(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    width, end = 4 * size, int(end_id).to_bytes(4, "little")
+    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         coder = word_ids(data, digest)
@@ -141,21 +197,24 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
             at = 0
             while at < batch.num_rows:
                 stop, some = at, 0
-                while stop < batch.num_rows and (stop == at or some < 2_000_000):  # some MB of text at a time
+                while stop < batch.num_rows and (stop == at or some < 8_000_000):  # some MB of text at a time
                     some += len(texts[stop].as_py())
                     stop += 1
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, raw in enumerate(coder(texts[at:stop].to_pylist()), at):
-                    raw += end
-                    for k in range(0, len(raw), width):
-                        cut = raw[k:k + width]
+                flat, lengths = coder.flat(texts[at:stop].to_pylist())
+                raw, begin = memoryview(flat.tobytes()), 0
+                for i, n in enumerate(lengths.tolist(), at):
+                    for k in range(0, n + 1, size):
+                        cut = raw[(begin + k) * 4:(begin + min(n, k + size)) * 4]
+                        closing = end if k + size > n else b""
                         row.append(i)
-                        piece.append(k // width)
-                        start.append(k // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
+                        piece.append(k // size)
+                        start.append(k)
+                        length.append((len(cut) + len(closing)) // 4)
+                        crc.append(zlib.crc32(closing, zlib.crc32(cut)))
                         if keep_ids:
-                            kept.append(cut)
+                            kept.append(bytes(cut) + closing)
+                    begin += n
                 columns = [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                            pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names)

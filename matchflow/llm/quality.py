@@ -201,6 +201,16 @@ def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     return train(x, np.array([r["y"] for r in rows], float))
 
 
+def fit_documents(docs: DataFrame, vectors: np.ndarray, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  label_col: str = "quality", sample: int = 20_000, **held) -> Network | None:
+    """``fit`` for documents without features: they are made for the sampled ids only, by the same share of their hashes."""
+    marks = labels.where(F.col(f"`{label_col}`").cast("int").isin(0, 1)).select(F.col(f"`{id_col}`").alias("id"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    n = rows.select("id").join(marks, "id").count()
+    some = featured(rows.where(spread_hash("id") < F.lit(sample / max(1, n))), vectors)
+    return fit(some, labels.withColumnRenamed(id_col, "id"), "id", label_col, sample, **held)
+
+
 def scored(features: DataFrame, net: Network | None, threshold: float = 0.3) -> DataFrame:
     """All columns but ``features`` plus (score, predicted); without a network every score is 0.5.
 
