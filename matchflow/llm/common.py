@@ -55,9 +55,12 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
 
 
 def process_memo(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, for things costly to build per task."""
+    """A dictionary for things costly to build per task, kept by the Python worker until it asks for one of another name."""
     holder = sys.modules.setdefault("matchflow_process_memo", types.ModuleType("matchflow_process_memo"))
-    return holder.__dict__.setdefault("memo_" + name, {})
+    if getattr(holder, "name", None) != name:
+        # A worker outlives its stage; what the operators before it have remembered must not pile up.
+        holder.name, holder.memo = name, {}
+    return holder.memo
 
 
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

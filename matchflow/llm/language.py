@@ -138,6 +138,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """(documents by feature, documents) over all rows of (text); one row per feature and task moves."""
 
     def run(batches):
+        process_memo("language")  # what other operators have left in this worker goes
         df = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
             for text in batch.column("text"):

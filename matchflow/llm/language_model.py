@@ -229,7 +229,7 @@ def neighbour_counts(training: DataFrame, ids: int) -> np.ndarray:
     chunks = -(-ids // chunk)
 
     def run(batches):
-        process_memo("codes").clear()
+        process_memo("ids")  # the words of the stage before are forgotten
         total = np.zeros(chunks * chunk * width, np.int64)
         for _, _, _, flat, _ in runs_of_ids(batches):
             at = flat.astype(np.int64) * width
@@ -400,7 +400,7 @@ def train(training: DataFrame, model: Model, epochs: int, rate: float, calm: flo
 
     for _ in range(epochs):
         def run(batches):
-            process_memo("codes").clear()
+            process_memo("ids")  # the words of the stage before are forgotten
             trainer = Trainer(model, rate, calm)
             for _, _, _, flat, starts in runs_of_ids(batches):
                 trainer.learn(flat, starts)

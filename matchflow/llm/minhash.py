@@ -23,7 +23,7 @@ from .common import forget, ids_and_texts, process_memo, stored
 from .components import components
 
 #: Words a worker remembers before it starts anew; changes speed only.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bands and rows: a pair at similarity 0.8 shares a band but once in 150,000 cases.
 BANDS, ROWS = 30, 5
 BATCH = 30

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import analysis, keywords, match, skills
+from ..operators import analysis, candidates, keywords, match, skills
 from . import views as v
 from .registry import query
 from .views import bought, postings, profile_texts, profiles, spread, sql_list, sql_text, sql_words, table
@@ -119,6 +119,20 @@ def skill_gap(spark, sf):
                        F.array_join("missing", ", ").alias("missing"), "coverage")
 
 
+@query(FEATURES + """,
+want AS (SELECT posting_id, p_tags FROM p WHERE len(p_tags) > 0),
+shape AS (SELECT DISTINCT p_tags FROM want), cover AS (SELECT DISTINCT f_cls FROM f),
+fit AS (SELECT p_tags, f_cls, len(list_filter(p_tags, lambda t: list_contains(f_cls, t.cls)))::BIGINT AS matched FROM shape, cover)
+SELECT posting_id, profile_id, matched, matched::DOUBLE / len(p_tags) AS coverage
+FROM fit JOIN want USING (p_tags) JOIN f USING (f_cls) WHERE matched >= 1 AND matched::DOUBLE / len(p_tags) >= 0.6
+""")
+def candidate_pairs(spark, sf):
+    """All pairs of a posting and a profile that covers three fifths of its skills."""
+    have = profile_texts(spark, sf).select("profile_id", skills.skill_list("raw_text").alias("skills"))
+    want = postings(spark, sf).select("posting_id", skills.skill_list("description").alias("skills"))
+    return candidates.candidate_pairs(want, have, 0.6)
+
+
 # --- keywords ------------------------------------------------------------------------------------------------------
 
 
