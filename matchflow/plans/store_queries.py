@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import export, store
+from ..operators import buckets, export, store
 from ..operators.text import fingerprint
 from ..session import checkpoint_dir
 from ..sources.files import scan_files
@@ -135,6 +135,24 @@ def upsert_snapshot(spark, sf):
     return store.upsert(new, old, ["o_custkey"], F.lit("1999-01-01").cast("date"), stamp="updated")
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 100 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+       CASE WHEN o_orderkey % 100 = 1 THEN DATE '1999-01-01' ELSE CAST(o_orderdate AS DATE) END AS updated FROM orders
+UNION ALL SELECT -o_orderkey - 1, 'N', o_totalprice, DATE '1999-01-01' FROM orders WHERE o_orderkey % 100 = 2
+""")
+def upsert_buckets(spark, sf):
+    """All orders as a bucketed table; edits of about one in a hundred and as many new rows reach their buckets only."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("updated"))
+    stored = buckets.Buckets(f"{checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}", ("o_orderkey",), 64)
+    stored.create(orders)
+    edits = orders.where("o_orderkey % 100 = 1").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
+    fresh = orders.where("o_orderkey % 100 = 2").withColumns({"o_orderkey": -F.col("o_orderkey") - 1, "o_orderstatus": F.lit("N")})
+    stored.change(edits.unionByName(fresh).drop("updated"),
+                  lambda rows, batch: store.upsert(batch, rows, ["o_orderkey"], F.lit("1999-01-01").cast("date"), stamp="updated"))
+    return stored.read(spark)
+
+
 @query(f"""
 WITH s AS ({_LATEST.format('<')}), n AS ({_LATEST.format('>=')}),
 j AS (SELECT s.o_custkey AS sk, n.o_custkey AS nk, s.o_orderkey AS so, n.o_orderkey AS no,
