@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -60,9 +62,20 @@ def process_memo(name: str) -> dict:
     if getattr(holder, "name", None) != name:
         # A worker outlives its stage; what the operators before it have remembered must not pile up.
         holder.name, holder.memo = name, {}
+        trim_memory()
     return holder.memo
 
 
+def trim_memory() -> None:
+    """Give memory that this process has freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (id, text), so that no other column of the input can clash; a null text is empty."""
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from matchflow.llm import packing
 
@@ -61,3 +63,18 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     groups = sorted((str(i), (t or "-")[0]) for i, t in got)
     assert groups == [("1", "a"), ("2", "b"), ("3", "e"), ("4", "-"), ("4", "-"), ("5", "-"), ("None", "c"), ("None", "d")]
     assert (2, text("b")) in got and (1, text("a")) in got
+
+
+def test_any_column_names(spark):
+    """Columns named like those the operators make come out as they went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    extra = ("features", "score", "predicted", "lang_pred", "row_no", "row", "place", "class", "id", "component_id", "kept", "no_id", "digest", "first")
+    marked = docs
+    for k, name in enumerate(extra):
+        marked = marked.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    for source in (marked, spark.createDataFrame(marked.collect(), marked.schema)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, source, SF)
+            assert out.columns == marked.columns
+            rows = out.collect()
+            assert rows and all(r[name] == f"{name} {r['doc_id']}" for r in rows for name in extra)
