@@ -42,7 +42,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     vectors = quality.word_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     net = quality.fit_documents(docs, vectors, table(spark, sf_dir, "labels"))
-    return whole(quality.scored(quality.featured(parted(docs), vectors), net).where("predicted = 1"), docs.columns)
+    return whole(quality.scored_documents(parted(docs), vectors, net).where("predicted = 1"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
