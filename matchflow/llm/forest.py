@@ -44,6 +44,14 @@ def hash_strings(x: np.ndarray, trees: int, length: int) -> np.ndarray:
     return out
 
 
+def in_order(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with ``q``, added up component by component."""
+    total = np.zeros(len(x))
+    for k in range(len(q)):
+        total += x[:, k] * q[k]
+    return total
+
+
 class Forest:
     """The sorted hash strings of one part, per tree."""
 
@@ -58,8 +66,13 @@ class Forest:
         self.codes = (np.sort(codes, axis=0) + self.tree).T.ravel()
 
     def search(self, q: np.ndarray, own: list[int], k: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k best found and those level with the last of them, without the rows ``own``."""
+        """(rows, scores) of the k best found and those level with the last of them, without the rows ``own``.
+
+        Scores on the way come from matrix products, whose last bits depend on the rows taken together, so rows within
+        ``margin`` of the last place stay; the scores returned are sums in one fixed order, equal for equal vectors.
+        """
         norm = np.sqrt(q @ q)
+        margin = 8 * len(q) * np.finfo(float).eps * norm * self.longest
         code = hash_strings(np.r_[q, 0.0][None, :], self.trees, self.length)[0] + self.tree
         seen = np.zeros(len(self.x), bool)
         seen[own] = True
@@ -82,11 +95,11 @@ class Forest:
                 seen[new] = True
                 near = self.x.take(new, axis=0) @ q
                 if len(rows) >= k:  # only what can still be among the best
-                    better = near >= scores.min()
+                    better = near >= scores.min() - margin
                     new, near = new[better], near[better]
                 scores, rows = np.r_[scores, near], np.r_[rows, new]
                 if len(rows) > k:
-                    keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]  # ties at the edge stay
+                    keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - margin  # ties at the edge stay
                     rows, scores = rows[keep], scores[keep]
             if depth == 0:
                 break
@@ -95,7 +108,7 @@ class Forest:
                 if 1 - (1 - (1 - np.arccos(cosine) / np.pi) ** depth) ** self.trees >= sure:
                     break
             depth -= 1
-        return rows, scores
+        return rows, in_order(self.x.take(rows, axis=0), q)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = 0.97, trees: int = TREES, length: int = LENGTH,

@@ -200,3 +200,18 @@ def test_forest_over_several_parts_few_rows_and_none(spark, monkeypatch):
     assert forest.nearest(df.limit(0), df, k=5).count() == 0
     twice = df.limit(4).unionByName(df.limit(1))
     assert {r["vec_id"] for r in forest.nearest(twice, df.limit(1), k=9).collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("part_rows", [100, 16_384])
+def test_forest_ties_go_to_the_smaller_id(spark, monkeypatch, part_rows):
+    """Fifty equal vectors, nearest to the query, lie in several parts: the twenty smallest ids of them come, in order."""
+    monkeypatch.setattr(forest, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 64))
+    hot = x[20] * 1.5
+    copies = sorted(rng.choice(np.arange(30, 900), 50, replace=False).tolist())
+    x[copies] = hot
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id BIGINT, embedding ARRAY<DOUBLE>").repartition(6)
+    got = sorted(forest.nearest(rows, rows.where("vec_id = 20"), 20).collect(), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in got] == copies[:20]
+    assert len({r["score"] for r in got}) == 1
