@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import export, match, rewrite, skills, vectors
+from ..operators import export, match, rewrite, sections, skills, vectors
 from . import views as v
 from .registry import SQL, query
 from .views import bought, postings, profile_texts, profiles, spread, sql_text, table
@@ -394,3 +394,64 @@ SELECT count(*) AS total_entries, count(*) FILTER (WHERE created_at > (SELECT ma
 def cache_stats(spark, sf):
     cache, now = _cache(spark, sf)
     return rewrite.cache_stats(cache, now)
+
+
+# --- section to section -----------------------------------------------------------------------------------
+
+PARTNERS = {"duties": ["experience", "project"], "requirements": ["skills"]}
+#: Four vectors in a row make the sections of a posting; its first stands for it in the search for candidates.
+_PAIRED = f"""
+WITH theirs AS ({_SECTIONS}),
+ours AS (SELECT CAST(floor(vec_id / 4) AS BIGINT) AS posting_id, CASE vec_id % 4 WHEN 0 THEN 'summary' WHEN 3 THEN 'requirements' ELSE 'duties' END AS posting_type,
+         CASE vec_id % 4 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS posting_index, embedding FROM embeddings),
+sims AS (SELECT a.posting_id, b.profile_id, {_SIM.format('a', 'b')} AS similarity FROM ours a, theirs b WHERE a.posting_type = 'summary' AND b.section_type = 'summary'),
+pairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY similarity DESC, profile_id) AS r FROM sims) WHERE r <= 10),
+met AS (SELECT posting_id, profile_id, posting_type, posting_index, section_type, section_index,
+        round(list_dot_product(o.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score
+        FROM pairs JOIN ours o USING (posting_id) JOIN theirs t USING (profile_id))
+"""
+
+
+def _met_sections(spark, sf, partners=None, one_to_one=False):
+    place = F.col("vec_id") % 4
+    kind = F.when(place == 0, "summary").when(place == 3, "requirements").otherwise("duties")
+    ours = table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 4).alias("posting_id"), kind.alias("section_type"), F.when(place == 2, 1).otherwise(0).alias("section_index"), "embedding")
+    theirs = _section_vectors(spark, sf)
+    summaries = lambda df, key: df.where("section_type = 'summary'").select(key, "embedding")
+    pairs = match.top_candidates(summaries(ours, "posting_id"), summaries(theirs, "profile_id"), 10)
+    return sections.section_links(pairs, ours, theirs, partners, one_to_one)
+
+
+@query(_PAIRED + """
+SELECT posting_id, profile_id, posting_type, posting_index, section_type, section_index, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY posting_id, profile_id, posting_type, posting_index ORDER BY score DESC, section_type, section_index) AS r
+  FROM met WHERE posting_type = 'summary' OR (posting_type = 'duties' AND section_type IN ('experience', 'project')) OR (posting_type = 'requirements' AND section_type = 'skills'))
+WHERE r = 1
+""")
+def section_partners(spark, sf):
+    """Duties meet jobs and projects, requirements meet skills, the summary meets all."""
+    return _met_sections(spark, sf, PARTNERS).where("score IS NOT NULL")
+
+
+@query(_PAIRED + """
+SELECT posting_id, profile_id, count(*) AS sections, count(*) AS partnered, round(sum(score), 6) AS total, round(round(sum(score), 6) / count(*), 9) AS score
+FROM (SELECT posting_id, profile_id, posting_type, posting_index, max(score) AS score FROM met GROUP BY ALL) GROUP BY posting_id, profile_id
+""")
+def section_scores_late(spark, sf):
+    return sections.late_interaction(_met_sections(spark, sf))
+
+
+_SLOT = "(SELECT posting_id, profile_id, section_type || section_index AS other, score FROM met WHERE posting_type = '{}' AND posting_index = {} AND score > 0 UNION ALL SELECT posting_id, profile_id, NULL, 0.0 FROM pairs)"
+_APART = " AND ".join(f"coalesce({x}.other <> {y}.other, true)" for i, x in enumerate("abcd") for y in "abcd"[i + 1:])
+
+
+@query(_PAIRED + f"""
+SELECT posting_id, profile_id, round(max(a.score + b.score + c.score + d.score), 6) AS total
+FROM {_SLOT.format('summary', 0)} a JOIN {_SLOT.format('duties', 0)} b USING (posting_id, profile_id)
+JOIN {_SLOT.format('duties', 1)} c USING (posting_id, profile_id) JOIN {_SLOT.format('requirements', 0)} d USING (posting_id, profile_id)
+WHERE {_APART} GROUP BY posting_id, profile_id
+""")
+def section_assignment(spark, sf):
+    """The SQL tries all assignments of four sections."""
+    return sections.late_interaction(_met_sections(spark, sf, one_to_one=True)).select("posting_id", "profile_id", "total")
