@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import WORD_CHAR, WS, as_col, let, squeeze, strip
+from ..sources.tables import settle
 
 # --- boilerplate -----------------------------------------------------------------------------------
 
@@ -101,16 +102,87 @@ def first_mentions(docs: DataFrame, names: DataFrame, key: str, text: str, name:
         F.min_by("name", F.struct("pos", -F.length("phrase"), "name")).alias("name"))
 
 
+#: Letters of a word that the neighbourhood index looks at; a bound on its entries, not on what is found.
+INDEXED = 8
+
+
+def deletions(word: Column, most: int) -> Column:
+    """The word's first letters with up to ``most`` of them left out, each form once.
+
+    Words at a distance of at most ``most`` share a form: an edit costs either side one letter at most, and what an
+    alignment shifts past the last indexed letter is made up for by the edits that shift it.
+    """
+    forms = F.array(F.substring(word, 1, INDEXED))
+    fewer = lambda w: F.when(F.length(w) > 0, F.transform(
+        F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array())
+    every = forms
+    for _ in range(most):
+        forms = F.array_distinct(F.flatten(F.transform(forms, fewer)))
+        every = F.concat(every, forms)
+    return F.array_distinct(every)
+
+
+def near_words(words: DataFrame, firsts: DataFrame, most: int) -> DataFrame:
+    """(word, first): of distinct words(word) those within ``allowed`` edits of a word of firsts(first, allowed).
+
+    A symmetric-delete index: both sides list their forms, equal forms meet, and what meets is measured. A word has at
+    most 37 forms at a distance of two, however long it is.
+    """
+    forms = lambda df, c: df.withColumn("form", F.explode(deletions(F.col(c), most)))
+    met = forms(words.select("word"), "word").join(forms(firsts.select("first", "allowed"), "first"), "form")
+    close = met.where((F.abs(F.length("word") - F.length("first")) <= F.col("allowed")) & (F.levenshtein("word", "first") <= F.col("allowed")))
+    return close.select("word", "first").distinct()
+
+
+def misspelt_mentions(docs: DataFrame, names: DataFrame, key: str, text: str, name: str = "name", distance: int = 2,
+                      letters: int = 4) -> DataFrame:
+    """(key, name): the dictionary name mentioned earliest, also with typing errors; then the nearest, the longer, the smaller.
+
+    As many words as the name has are compared with it one by one, and their edit distances add up. A name may have one
+    error for every ``letters`` of its characters and ``distance`` (at most 2) in all, so short names must be exact.
+
+    The vocabulary of all texts, not the texts, meets the dictionary's first words in a neighbourhood index. A text then
+    learns which of its words begin a name, and only those go on with the words behind them. Null and empty texts mention
+    nothing; repeated keys count as one text each and give the earliest name of all.
+    """
+    if not 0 <= distance <= 2:
+        raise ValueError("distance must be 0, 1 or 2")
+    phrase = _words(F.col(name))
+    known = names.select(F.col(name).alias("name"), phrase.alias("phrase"), F.get(phrase, F.lit(0)).alias("first"))
+    known = known.where("first IS NOT NULL").groupBy("phrase", "first").agg(F.min("name").alias("name"))
+    length = F.length(F.array_join("phrase", " "))
+    known = known.withColumns({"length": length, "allowed": F.least(F.lit(distance), F.floor(length / letters).cast("int"))})
+    longest = known.agg(F.max(F.size("phrase"))).first()[0] or 0
+    firsts = known.groupBy("first").agg(F.max("allowed").alias("allowed"))
+
+    own = docs.select(F.col(key).alias("k"), F.posexplode(_words(F.col(text))).alias("pos", "word"))
+    near = settle(near_words(own.select("word").distinct(), firsts, distance))
+    starts = own.join(near, "word").groupBy("k").agg(F.collect_set(F.struct("pos", "first")).alias("starts"))
+    body = docs.select(F.col(key).alias("b"), F.col(text).alias("body"))
+    wanted = starts.join(body, F.col("k").eqNullSafe(F.col("b"))).select("k", "starts", _words(F.col("body")).alias("ws"))
+    places = F.transform("starts", lambda s: F.struct(s["pos"].alias("pos"), s["first"].alias("first"), F.slice(F.col("ws"), s["pos"] + 1, F.lit(longest)).alias("ahead")))
+    met = wanted.select("k", F.inline(places)).join(known, "first").where(F.size("ahead") >= F.size("phrase"))
+    edits = F.aggregate(F.zip_with(F.slice("ahead", F.lit(1), F.size("phrase")), "phrase", lambda x, y: F.levenshtein(x, y)), F.lit(0), lambda a, d: a + d)
+    hits = met.withColumn("edits", edits).where("edits <= allowed")
+    best = hits.groupBy("k").agg(F.min_by("name", F.struct("pos", "edits", -F.col("length"), "name")).alias("name"))
+    return best.select(F.col("k").alias(key), "name")
+
+
 def fill_from_gazetteer(df: DataFrame, orgs: DataFrame, places: DataFrame, key: str = "id",
                         text: str = "description", name: str = "name",
-                        chars: int | None = None) -> DataFrame:
+                        chars: int | None = None, distance: int = 0) -> DataFrame:
     """Fills null company and location from dictionaries; only rows with a gap are searched.
 
-    ``chars=5000`` looks at the first 5,000 characters only.
+    ``chars=5000`` looks at the first 5,000 characters only; ``distance`` allows for typing errors in names.
     """
     for column, names in (("company", orgs), ("location", places)):
         gaps = df.filter(F.col(column).isNull()).select(key, text)
-        found = first_mentions(gaps, names, key, text, name, chars).withColumnRenamed("name", "_found")
+        if distance:
+            head = gaps if chars is None else gaps.withColumn(text, F.substring(text, 1, chars))
+            found = misspelt_mentions(head, names, key, text, name, distance)
+        else:
+            found = first_mentions(gaps, names, key, text, name, chars)
+        found = found.withColumnRenamed("name", "_found")
         df = df.join(found, key, "left").withColumn(column, F.coalesce(column, "_found")).drop("_found")
     return df
 

@@ -89,6 +89,26 @@ def fill_from_gazetteer(spark, sf):
     return ops.fill_from_gazetteer(docs, orgs, nation.select(F.col("n_name").alias("name"))).select("id", "company", "location")
 
 
+#: Every third text has lost the second letter of its place, every other third has its last one twice.
+_PLACE = ("CASE p_size % 3 WHEN 0 THEN substring(n_name, 1, 1) || substring(n_name, 3) WHEN 1 THEN n_name || substring(n_name, length(n_name), 1) ELSE n_name END")
+_MADE_IN = f"'One ' || p_name || ' by ' || p_brand || ', made in ' || {_PLACE} || '.'"
+
+
+@query(f"""
+WITH docs AS (SELECT p_partkey AS id, regexp_extract_all(lower({_MADE_IN}), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM part JOIN nation ON n_nationkey = p_size % 25),
+places AS (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM docs),
+names AS (SELECT n_name AS name, string_split(lower(n_name), ' ') AS phrase, least(2, length(n_name) // 4) AS allowed FROM nation),
+met AS (SELECT id, name, pos, allowed, list_sum(list_transform(range(1, len(phrase) + 1), lambda j: levenshtein(ws[pos + j - 1], phrase[j]))) AS edits
+        FROM places, names WHERE pos + len(phrase) - 1 <= len(ws))
+SELECT id, arg_min(name, (pos, edits, -length(name), name)) AS name FROM met WHERE edits <= allowed GROUP BY id
+""")
+def misspelt_places(spark, sf):
+    """The SQL measures every name at every word."""
+    places = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    docs = table(spark, sf, "part").join(places, F.col("n_nationkey") == F.col("p_size") % 25).selectExpr("p_partkey AS id", f"{_MADE_IN} AS description")
+    return ops.misspelt_mentions(docs, places.select(F.col("n_name").alias("name")), "id", "description")
+
+
 @query(f"""
 SELECT sha256(regexp_replace(lower(text), '{WS}+', '', 'g')) AS fingerprint, min(doc_id) AS keeper, count(*) AS copies
 FROM documents GROUP BY 1
