@@ -94,7 +94,19 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 
 def _one_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None) -> DataFrame:
-    return latest_per_key(batch, keys, order) if order else batch.dropDuplicates(list(keys))
+    """One row per key: the last by ``order``; without an order the greatest, column by column in alphabetical order.
+
+    So a batch that is read again after a lost task, in whatever order, gives the same rows. Nulls are smallest; maps,
+    which have no order, are compared by their JSON.
+    """
+    if order:
+        return latest_per_key(batch, keys, order)
+    rest = sorted(c for c in batch.columns if c not in keys)
+    if not rest:
+        return batch.distinct()
+    ordered = [F.to_json(F.struct(c)) if "map<" in batch.schema[c].dataType.simpleString() else F.col(c) for c in rest]
+    best = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*ordered)).alias("_row"))
+    return best.select(*keys, "_row.*").select(*batch.columns)
 
 
 def upsert(batch: DataFrame, store: DataFrame, keys: Sequence[str], now: Column | None = None,
@@ -102,8 +114,8 @@ def upsert(batch: DataFrame, store: DataFrame, keys: Sequence[str], now: Column
            stamp: str | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """Store content after inserting or replacing the rows of ``batch``.
 
-    Of several rows of ``batch`` with one key the last by ``order`` counts; without an order, any
-    one of them.
+    Of several rows of ``batch`` with one key the last by ``order`` counts; without an order, the
+    greatest by all its columns.
 
     A replaced row takes every non-key column of the new row, keeps ``id_col`` and gets ``now``
     in ``stamp``. With ``digest``, a row whose stored digest is equal stays as it was. The choice
@@ -166,7 +178,8 @@ def patch(store: DataFrame, edits: DataFrame, key: str, columns: Sequence[str],
           overwrite: bool = False, order: Sequence[str] | None = None) -> DataFrame:
     """Per-column update by key: a null in an edit keeps the stored value.
 
-    Of several edits of one key the last by ``order`` counts, whole; without an order, any one.
+    Of several edits of one key the last by ``order`` counts, whole; without an order, the
+    greatest by all its columns.
 
     ``clear`` names an edit column listing the columns to set to null; ``overwrite`` takes every
     edit value as it is. Rows without an edit are unchanged; edited rows get ``now``.

@@ -133,3 +133,16 @@ def test_history_orders(spark):
     people = spark.createDataFrame([(7, "Jo", "j@x.org")], "id long, full_name string, email string")
     assert [r.id for r in export.history_by_profile(analysis, postings).collect()] == [2, 1, 3]
     assert [r.id for r in export.history_by_posting(analysis, people, 1).orderBy("posting_id").collect()] == [2, 3]
+
+
+def test_repeated_keys_without_an_order_give_the_same_row_in_any_order_of_the_batch(spark):
+    kind = "id long, b string, a int, m map<string,int>"
+    rows = [(1, "x", 2, {"k": 1}), (1, "y", 2, {"k": 1}), (1, "z", 1, {"k": 9}), (1, "y", 2, {"k": 2}), (1, None, None, None), (None, "n", 1, None), (None, "o", 1, None)]
+    have = spark.createDataFrame([(1, "old", 0, None), (2, "kept", 0, None)], kind)
+    want = [(1, "y", 2, {"k": 2}), (2, "kept", 0, None), (None, "o", 1, None)]
+    for turned in (rows, rows[::-1], rows[3:] + rows[:3]):
+        batch = spark.createDataFrame(turned, kind).repartition(3)
+        got = sorted(map(tuple, store.upsert(batch, have, ["id"]).collect()), key=lambda r: (r[0] is None, r[0]))
+        assert got == want
+        patched = {r.id: r.b for r in store.patch(have, batch.drop("m"), "id", ["b"]).collect()}
+        assert patched == {1: "y", 2: "kept"}
