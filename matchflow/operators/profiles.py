@@ -15,7 +15,7 @@ from ..functions import fixed
 from ..functions.columns import as_col, first_or_null, let, non_empty, squeeze, strip, strings
 from .postings import last_answer
 from .skills import skill_list
-from .store import latest_per_key
+from .store import one_per_key
 
 _NO_TEXTS = "array<string>"
 
@@ -389,7 +389,7 @@ def apply_rewrites(profiles: DataFrame, rewrites: DataFrame, key: str = "id",
                    order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(profiles after the rewrites, rejected rewrites with ``reason``).
 
-    ``rewrites``: profile_id, section_type, section_index, new_text. The last one by ``order``
+    ``rewrites``: profile_id, section_type, section_index, new_text. The last one by ``order``, or the greatest without it,
     wins per section. Out-of-range entries and other section types are rejected before anything
     is grouped, so what is collected per profile is at most one text per section it has.
     """
@@ -408,7 +408,7 @@ def apply_rewrites(profiles: DataFrame, rewrites: DataFrame, key: str = "id",
     slot_index = F.when(F.col("section_type") == "summary", 0).otherwise(index)
     good = checked.filter("reason is null").drop("reason").withColumn("section_index", slot_index)
     keys = ["profile_id", "section_type", "section_index"]
-    last = latest_per_key(good, keys, [order]) if order else good.dropDuplicates(keys)
+    last = one_per_key(good, keys, [order] if order else None)
     slot = F.when(F.col("section_type") == "summary", F.lit("summary")).otherwise(
         F.concat_ws("_", "section_type", index.cast("string")))
     per_profile = last.groupBy(F.col("profile_id").alias(key)).agg(

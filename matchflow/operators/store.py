@@ -93,7 +93,7 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str])
     return best.select(*keys, "row.*").select(*batch.columns)
 
 
-def _one_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None) -> DataFrame:
+def one_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None) -> DataFrame:
     """One row per key: the last by ``order``; without an order the greatest, column by column in alphabetical order.
 
     So a batch that is read again after a lost task, in whatever order, gives the same rows. Nulls are smallest; maps,
@@ -121,7 +121,7 @@ def upsert(batch: DataFrame, store: DataFrame, keys: Sequence[str], now: Column
     in ``stamp``. With ``digest``, a row whose stored digest is equal stays as it was. The choice
     is made per row, so a null in the new row does replace a stored value.
     """
-    batch = _one_per_key(batch, keys, order)
+    batch = one_per_key(batch, keys, order)
     old = store.withColumn("_old", F.lit(True)).alias("o")
     new = batch.withColumn("_new", F.lit(True)).alias("n")
     joined = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
@@ -185,7 +185,7 @@ def patch(store: DataFrame, edits: DataFrame, key: str, columns: Sequence[str],
     edit value as it is. Rows without an edit are unchanged; edited rows get ``now``.
     """
     extra = [clear] if clear else []
-    changes = _one_per_key(edits, [key], order).select(key, *columns, *extra).withColumn("_edit", F.lit(True)).alias("e")
+    changes = one_per_key(edits, [key], order).select(key, *columns, *extra).withColumn("_edit", F.lit(True)).alias("e")
     joined = store.alias("s").join(changes, F.col(f"s.{key}") == F.col(f"e.{key}"), "left")
     hit = F.col("_edit").isNotNull()
     out = []

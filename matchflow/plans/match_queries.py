@@ -333,8 +333,8 @@ _LEADS = "CASE section_type WHEN 'experience' THEN format({}, {}) WHEN 'project'
     for x in (sql_text(rewrite.LEADS[kind].replace("%s", "{}")), ", ".join(parts))))
 _TAILS = "CASE section_type " + " ".join(f"WHEN '{kind}' THEN {sql_text(text)}" for kind, text in rewrite.TAILS.items()) + " END"
 _ASKED = f"""
-WITH asked AS (SELECT w.*, md5(content || '|||' || substring(description, 1, 2000)) AS cache_key,
-                      {_LEADS} || substring(description, 1, 2000) || {_TAILS} AS prompt
+WITH asked AS (SELECT w.*, md5(content || '|||' || description) AS cache_key,
+                      {_LEADS} || description || {_TAILS} AS prompt
                FROM (SELECT * FROM customer) c JOIN ({_WEAK}) w ON c_custkey = w.profile_id JOIN ({_KEY_TEXTS}) k USING (profile_id, section_type)
                JOIN ({v.POSTINGS_SQL}) p USING (posting_id)),
 cache AS (SELECT cache_key, 'answer ' || cache_key AS response_text FROM asked WHERE flag = 'R' GROUP BY cache_key)
@@ -345,9 +345,9 @@ def _worklist(spark, sf):
     """The cache holds the answers for returned parts."""
     weak, requests, texts = _weak(spark, sf), rewrite.section_requests(_summarised(spark, sf)), postings(spark, sf)
     returned = weak.filter("flag = 'R'").join(requests, ["profile_id", "section_type", "section_index"]).join(texts, "posting_id")
-    cache = returned.filter("section_type <> 'skills'").select(rewrite.cache_key("content", "description", fixed.KEY_POSTING_CHARS).alias("cache_key")).distinct()
+    cache = returned.filter("section_type <> 'skills'").select(rewrite.cache_key("content", "description").alias("cache_key")).distinct()
     cache = cache.withColumn("response_text", F.concat(F.lit("answer "), "cache_key"))
-    return rewrite.rewrite_worklist(weak, requests, texts, cache, fixed.KEY_POSTING_CHARS)
+    return rewrite.rewrite_worklist(weak, requests, texts, cache)
 
 
 @query(_ASKED + "SELECT posting_id, profile_id, section_type, cache_key, response_text FROM asked JOIN cache USING (cache_key)")
