@@ -72,3 +72,15 @@ def test_stream_equals_batch_and_catches_old_copies(spark, tmp_path):
     rows = stored_rows(spark, out).collect()
     assert len({r.fingerprint for r in rows}) == len(rows) == 3
     assert {r.text.lower().replace(" ", "") for r in rows} == {"hello", "other", "new"}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_reads_a_table_of_one_file_or_of_a_folder(spark, tmp_path, files):
+    docs = spark.createDataFrame([(k, f"text {k % 4}", "en", "web", 6) for k in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = str(tmp_path / "tables")
+    docs.repartition(files).write.parquet(f"{folder}/{'documents.parquet' if files > 1 else 'one'}")
+    if files == 1:
+        (part,) = (tmp_path / "tables/one").glob("part-*.parquet")
+        (tmp_path / "tables/documents.parquet").write_bytes(part.read_bytes())
+    rows = entry.queries()["ingest_stream_documents"](spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3]
