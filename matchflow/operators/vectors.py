@@ -90,15 +90,25 @@ def cosine_pairs(pairs: DataFrame, a: str, b: str, out: str = "score") -> DataFr
 
 # --- nearest neighbours ---------------------------------------------------------------------------------
 #
-# Vectors are split into cells around pivots, and cells into blocks of bounded size. A query has
-# to look only into cells that can hold a hit: no member of a cell is closer to the query than
-# the angle to the pivot minus the cell's radius (triangle inequality on the sphere). The answer
-# is exact; the cells only save work. Queries and vectors meet per (block, query block), both of
-# bounded size, as matrices; what leaves a block is already reduced to k rows per query.
+# Vectors are split into cells around pivots. A query has to look only into cells that can hold a
+# hit: no member of a cell is closer to the query than the angle to the pivot minus the cell's
+# radius (triangle inequality on the sphere). The answer is exact; the cells only save work. Cells
+# are dealt to tiles of bounded size, large ones to several, small ones together. Queries and
+# vectors meet per (tile, query tile), so a row moves once per tile and not once per cell; a task
+# works on a bounded number of similarities at a time, and what leaves it is reduced to k rows per
+# query and tile.
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
-_BLOCKS = 10_000_000  # block numbers set aside per pivot
+#: Rows of a tile at most, and numbers in its vectors.
+TILE_ROWS = 16_384
+TILE_CELLS = 1 << 22
+#: Cells of one tile: a query says in one long which of them it looks into.
+PLACES = 62
+#: Similarities a task works on at a time.
+SIMS = 1 << 20
+#: Below any floor: the similarity in cells that a query doesn't look into.
+_OUT = -3.0
 _EPS = 2e-6
 
 
@@ -158,33 +168,58 @@ class _Cells:
         self.sizes = {r["cell"]: r["n"] for r in stats}
         self.radius = {r["cell"]: r["r"] for r in stats}
 
-    def blocks(self, cell: int) -> int:
-        return int(np.ceil(self.sizes[cell] / self.block_rows))
+    def tiles(self) -> dict[int, tuple[int, int, int]]:
+        return _dealt(self.sizes, _tile_rows(sum(self.sizes.values()), self.block_rows, self.pivots.shape[1]))
 
-    def blocked(self) -> DataFrame:
-        """(v_id, v_vec, cell, block)"""
-        count = F.create_map(*[F.lit(x) for c in self.sizes for x in (c, self.blocks(c))])
+    def tiled(self) -> DataFrame:
+        """(v_id, v_vec, v_tile, v_place)"""
+        tiles = self.tiles()
+        place = F.create_map(*[F.lit(x) for c, (_, _, p) in tiles.items() for x in (c, p)])
         return self.rows.select(
-            F.col(self.key).alias("v_id"), F.col(self.column).alias("v_vec"), "cell",
-            F.pmod(F.xxhash64(self.key), count[F.col("cell")]).cast("int").alias("block"))
+            F.col(self.key).alias("v_id"), F.col(self.column).alias("v_vec"), _tile_of(tiles, self.key).alias("v_tile"),
+            place[F.col("cell")].alias("v_place"))
 
 
-def _query_blocks(queries: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[DataFrame, list[int]]:
-    """(q_id, q_vec, q_block) and the block numbers.
+def _tile_rows(total: int, block_rows: int, dims: int) -> int:
+    """Rows of a tile: a few tiles for small tables, a bounded size for large ones."""
+    return int(min(TILE_ROWS, max(1, TILE_CELLS // dims), max(block_rows, -(-total // 8))))
 
-    Queries near the same pivot share blocks of bounded size, so a block needs few cells.
+
+def _dealt(sizes: dict[int, int], rows: int) -> dict[int, tuple[int, int, int]]:
+    """cell -> (first tile, number of tiles, place within the tile)."""
+    out, tile, held, place = {}, 0, 0, 0
+    for cell in sorted(sizes):
+        n = sizes[cell]
+        if place and (held + n > rows or place == PLACES):
+            tile, held, place = tile + 1, 0, 0
+        count = max(1, -(-n // rows))
+        out[cell] = (tile, count, place)
+        if count > 1:
+            tile, held, place = tile + count, 0, 0
+        else:
+            held, place = held + n, place + 1
+    return out
+
+
+def _tile_of(tiles: dict[int, tuple[int, int, int]], key: str) -> Column:
+    first = F.create_map(*[F.lit(x) for c, (t, _, _) in tiles.items() for x in (c, t)])
+    count = F.create_map(*[F.lit(x) for c, (_, n, _) in tiles.items() for x in (c, n)])
+    return (first[F.col("cell")] + F.pmod(F.xxhash64(key), count[F.col("cell")])).cast("int")
+
+
+def _query_tiles(queries: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[DataFrame, int]:
+    """(q_id, q_vec, q_tile) and the number of tiles.
+
+    Queries near the same pivot share tiles of bounded size, so a tile needs few cells.
     """
     placed = _with_cells(queries, "q_id", "q_vec", pivots)
     if len(pivots) > 1:
         placed = settle(placed)
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
     if not sizes:
-        return placed.select("q_id", "q_vec", F.lit(0).cast("bigint").alias("q_block")), []
-    blocks = {c: int(np.ceil(n / block_rows)) for c, n in sizes.items()}
-    count = F.create_map(*[F.lit(x) for c in blocks for x in (c, blocks[c])])
-    number = F.col("cell").cast("bigint") * _BLOCKS + F.pmod(F.xxhash64("q_id"), count[F.col("cell")])
-    listed = [c * _BLOCKS + i for c in blocks for i in range(blocks[c])]
-    return placed.select("q_id", "q_vec", number.alias("q_block")), listed
+        return placed.select("q_id", "q_vec", F.lit(0).alias("q_tile")), 0
+    tiles = _dealt(sizes, _tile_rows(sum(sizes.values()), block_rows, pivots.shape[1]))
+    return placed.select("q_id", "q_vec", _tile_of(tiles, "q_id").alias("q_tile")), max(t + n for t, n, _ in tiles.values())
 
 
 def _upper(units: np.ndarray, pivots: np.ndarray, radius: dict[int, float]) -> tuple[list[int], np.ndarray]:
@@ -200,13 +235,12 @@ def _upper(units: np.ndarray, pivots: np.ndarray, radius: dict[int, float]) -> t
 
 
 def _probes(queries: DataFrame, cells: _Cells, choose) -> DataFrame:
-    """(q_id, q_vec, floor, q_block, cell, block): one row per block a query has to look into.
+    """(q_id, q_vec, floor, q_tile, tile, places): one row per tile a query has to look into, with its cells there.
 
     ``choose(names, bounds, pdf)`` is a mask of the cells wanted per query.
     """
     kind = queries.schema["q_id"].dataType.simpleString()
-    blocks = {c: cells.blocks(c) for c in cells.sizes}
-    pivots, radius = cells.pivots, cells.radius
+    tiles, pivots, radius = cells.tiles(), cells.pivots, cells.radius
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,36 +248,53 @@ def _probes(queries: DataFrame, cells: _Cells, choose) -> DataFrame:
                 continue
             names, upper = _upper(_unit(pdf["q_vec"].to_list()), pivots, radius)
             wanted = choose(names, upper, pdf)
-            for j, cell in enumerate(names):
-                hit = pdf[wanted[:, j]]
-                for b in range(blocks[cell] if len(hit) else 0):
-                    yield hit.assign(cell=np.int32(cell), block=np.int32(b))
+            at = {(tiles[c][0], tiles[c][1]) for c in names}
+            for first, count in sorted(at):
+                places = np.zeros(len(pdf), np.int64)
+                for j, c in enumerate(names):
+                    if tiles[c][0] == first:
+                        places |= wanted[:, j].astype(np.int64) << tiles[c][2]
+                hit = pdf[places != 0]
+                for n in range(count if len(hit) else 0):
+                    yield hit.assign(tile=np.int32(first + n), places=places[places != 0])
 
-    schema = f"q_id {kind}, q_vec array<float>, floor double, q_block bigint, cell int, block int"
-    return queries.select("q_id", "q_vec", "floor", "q_block").mapInPandas(expand, schema)
+    schema = f"q_id {kind}, q_vec array<float>, floor double, q_tile int, tile int, places bigint"
+    return queries.select("q_id", "q_vec", "floor", "q_tile").mapInPandas(expand, schema)
 
 
-def _meet(probes: DataFrame, cells: _Cells, q_blocks: list[int], reduce, out_kind: str) -> DataFrame:
-    """Run ``reduce(queries, vectors, similarities)`` on every (cell, block, query block) in use.
+def _meet(probes: DataFrame, cells: _Cells, q_tiles: int, reduce, out_kind: str) -> DataFrame:
+    """Run ``reduce(queries, vector keys, similarities)`` on every (tile, query tile) in use, some queries at a time.
 
-    A vector is copied only to the query blocks that look into its cell.
+    A vector is copied only to the query tiles that look into its tile. Keys come in ascending order; the similarity is
+    ``_OUT`` where a query does not look into the vector's cell.
     """
-    on = ["cell", "block", "q_block"]
-    if len(cells.sizes) == 1 and len(q_blocks) <= 64:
-        numbers = F.array(*[F.lit(b) for b in q_blocks]).cast("array<bigint>")
-        rows = cells.blocked().withColumn("q_block", F.explode(numbers))
+    rows = cells.tiled()
+    if q_tiles * max(t + n for t, n, _ in cells.tiles().values()) <= 64:
+        rows = rows.withColumn("v_q_tile", F.explode(F.sequence(F.lit(0), F.lit(max(q_tiles - 1, 0)))))
     else:
-        rows = cells.blocked().join(probes.select("cell", "q_block").distinct(), "cell")
-    # Own names on this side: the block numbers of both sides come from the same probes.
-    rows = rows.select("v_id", "v_vec", *[F.col(c).alias(f"v_{c}") for c in on])
+        rows = rows.join(probes.select(F.col("tile").alias("v_tile"), F.col("q_tile").alias("v_q_tile")).distinct(), "v_tile")
 
     def work(_key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return reduce(q.iloc[:0], v.iloc[:0], np.zeros((0, 0)))
-        sims = np.round(_unit(q["q_vec"].to_list()) @ _unit(v["v_vec"].to_list()).T, 6) + 0.0
-        return reduce(q, v, sims)
+            return reduce(q.iloc[:0], v["v_id"].to_numpy()[:0], np.zeros((0, 0)))
+        # Queries that look into the same cells lie together.
+        q, v = q.sort_values("places", kind="stable"), v.sort_values("v_id", kind="stable")
+        q_units, v_units = _unit(q["q_vec"].to_list()), _unit(v["v_vec"].to_list())
+        ids, place = v["v_id"].to_numpy(), v["v_place"].to_numpy()
+        wanted = (q["places"].to_numpy()[:, None] >> np.arange(place.max() + 1)) & 1 > 0
+        step, parts = max(1, SIMS // len(v)), []
+        for at in range(0, len(q), step):
+            looks = wanted[at:at + step]
+            near = np.flatnonzero(looks.any(axis=0)[place])
+            if not len(near):
+                continue
+            some = v_units if len(near) == len(v) else v_units[near]
+            sims = np.round(q_units[at:at + step] @ some.T, 6) + 0.0
+            sims[~looks[:, place[near]]] = _OUT
+            parts.append(reduce(q.iloc[at:at + step], ids[near], sims))
+        return pd.concat(parts, ignore_index=True) if parts else reduce(q.iloc[:0], ids[:0], np.zeros((0, 0)))
 
-    return probes.groupBy(*on).cogroup(rows.groupBy(*[f"v_{c}" for c in on])).applyInPandas(work, out_kind)
+    return probes.groupBy("tile", "q_tile").cogroup(rows.groupBy("v_tile", "v_q_tile")).applyInPandas(work, out_kind)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "posting_id",
@@ -265,15 +316,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "postin
         return spark.createDataFrame([], f"{q_key} {q_kind}, {v_key} {v_kind}, similarity double, rank int")
     if cells.rows is None:  # only zero vectors: one cell of them
         cells = _zero_cells(cells, stored, v_key, v_vec)
-    blocked, q_blocks = _query_blocks(named, cells.pivots, block_rows)
+    tiled, q_tiles = _query_tiles(named, cells.pivots, block_rows)
     need = k + (1 if exclude_self else 0)
 
-    def top(q: pd.DataFrame, v: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
+    def top(q: pd.DataFrame, ids: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
         if not sims.size:
-            return pd.DataFrame({"q_id": q["q_id"], "v_id": v["v_id"], "similarity": np.zeros(0)})
-        ids = v["v_id"].to_numpy()
-        rank = np.argsort(ids, kind="stable")
-        ids, sims, n = ids[rank], sims[:, rank], len(ids)
+            return pd.DataFrame({"q_id": q["q_id"].iloc[:0], "v_id": ids[:0], "similarity": np.zeros(0)})
+        n = len(ids)
         # Six decimals as whole numbers, then the place of the id: unique, so the k best are exact.
         code = np.rint(sims * 1e6).astype(np.int64) * n + (n - 1 - np.arange(n))
         best = np.argpartition(-code, need - 1, axis=1)[:, :need] if n > need else np.argsort(-code, axis=1)
@@ -284,8 +333,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "postin
         return pd.DataFrame({"q_id": rows_q[hit], "v_id": flat_v[hit], "similarity": flat_s[hit]})
 
     home = _home(cells.sizes, need)
-    start = blocked.withColumn("floor", F.lit(-2.0))
-    found = _meet(_probes(start, cells, home), cells, q_blocks, top, shape)
+    start = tiled.withColumn("floor", F.lit(-2.0))
+    found = _meet(_probes(start, cells, home), cells, q_tiles, top, shape)
     if len(cells.sizes) > 1:
         found = settle(found)
         by_score = W.partitionBy("q_id").orderBy(F.desc("similarity"))
@@ -293,13 +342,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "postin
             found.withColumn("i", F.row_number().over(by_score)).filter(F.col("i") <= need)
             .groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= need, F.min("similarity")).otherwise(F.lit(-2.0)).alias("floor"))
         )
-        again = blocked.join(floors, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        again = tiled.join(floors, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
 
         def others(names, upper, pdf):
             possible = upper >= pdf["floor"].to_numpy()[:, None] - _EPS
             return possible & ~home(names, upper, pdf)
 
-        found = found.unionByName(_meet(_probes(again, cells, others), cells, q_blocks, top, shape))
+        found = found.unionByName(_meet(_probes(again, cells, others), cells, q_tiles, top, shape))
     if exclude_self:
         found = found.filter(F.col("q_id") != F.col("v_id"))
     order = W.partitionBy("q_id").orderBy(F.desc("similarity"), "v_id")
@@ -334,7 +383,7 @@ def near_dups(vectors: DataFrame, threshold: float, key: str = "vec_id", column:
     its own keeper.
 
     Equal vectors are folded into one first, so a group of copies is compared once however large
-    it is; a block then returns one row per query (its lowest close key), never the pairs.
+    it is; a tile then returns one row per query and step (its lowest close key), never the pairs.
     """
     kind = vectors.schema[key].dataType.simpleString()
     folded = vectors.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(key).alias(key))
@@ -345,22 +394,20 @@ def near_dups(vectors: DataFrame, threshold: float, key: str = "vec_id", column:
     if not sum(cells.sizes.values()):
         return vectors.select(key, F.col(key).alias("keeper"))
     named = reps.select(F.col(key).alias("q_id"), F.col(column).alias("q_vec"))
-    blocked, q_blocks = _query_blocks(named, cells.pivots, block_rows)
-    queries = blocked.withColumn("floor", F.lit(threshold))
+    tiled, q_tiles = _query_tiles(named, cells.pivots, block_rows)
+    queries = tiled.withColumn("floor", F.lit(threshold))
 
     def possible(_names, upper, _pdf):
         return upper >= threshold - _EPS
 
-    def lowest(q: pd.DataFrame, v: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
+    def lowest(q: pd.DataFrame, ids: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
         if not sims.size:
-            return pd.DataFrame({"q_id": q["q_id"], "keeper": q["q_id"]})
-        ids = v["v_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        close = sims[:, order] >= threshold
+            return pd.DataFrame({"q_id": q["q_id"].iloc[:0], "keeper": q["q_id"].iloc[:0]})
+        close = sims >= threshold
         hit = close.any(axis=1)
-        return pd.DataFrame({"q_id": q["q_id"].to_numpy()[hit], "keeper": ids[order][close.argmax(axis=1)][hit]})
+        return pd.DataFrame({"q_id": q["q_id"].to_numpy()[hit], "keeper": ids[close.argmax(axis=1)][hit]})
 
-    met = _meet(_probes(queries, cells, possible), cells, q_blocks, lowest, f"q_id {kind}, keeper {kind}")
+    met = _meet(_probes(queries, cells, possible), cells, q_tiles, lowest, f"q_id {kind}, keeper {kind}")
     best = met.groupBy(F.col("q_id").alias(key)).agg(F.min("keeper").alias("_close"))
     per_vector = reps.join(best, key, "left").select(
         F.col(column).alias("_v"), F.least(F.col(key), F.col("_close")).alias("keeper"))

@@ -214,3 +214,32 @@ def test_cache_expiry_keeps_the_limit_itself(spark):
     kept, gone = rewrite.expire_cache(cache, 30, now)
     assert [r.cache_key for r in kept.collect()] == ["a"] and gone.first().deleted == 1
     assert tuple(rewrite.cache_stats(cache, now).first()) == (2, 0)
+
+
+def test_a_query_moves_once_per_tile_however_small_the_blocks(spark, crowded):
+    """150 vectors in up to 75 cells: a query that may look into all of them is sent to the few tiles they lie in."""
+    cells = vectors._Cells(frame(spark, crowded, "profile_id"), "profile_id", "embedding", 2)
+    named = frame(spark, crowded, "q_id").withColumnRenamed("embedding", "q_vec")
+    tiled, q_tiles = vectors._query_tiles(named, cells.pivots, 2)
+    everywhere = lambda names, upper, pdf: np.ones_like(upper, dtype=bool)
+    probes = vectors._probes(tiled.withColumn("floor", F.lit(-2.0)), cells, everywhere)
+    tiles = max(t + n for t, n, _ in cells.tiles().values())
+    assert len(cells.sizes) > 2 * tiles and q_tiles <= 150
+    assert probes.count() == 150 * tiles
+    assert {p for _, _, p in cells.tiles().values()} <= set(range(vectors.PLACES))
+
+
+def test_a_task_works_on_few_similarities_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SIMS", 500)
+    seen = spark.sparkContext.accumulator(0)
+    m = np.random.default_rng(3).normal(size=(200, 8))
+    cells = vectors._Cells(frame(spark, m, "profile_id"), "profile_id", "embedding", 4096)
+    tiled, q_tiles = vectors._query_tiles(frame(spark, m, "q_id").withColumnRenamed("embedding", "q_vec"), cells.pivots, 4096)
+    probes = vectors._probes(tiled.withColumn("floor", F.lit(-2.0)), cells, lambda names, upper, pdf: np.ones_like(upper, dtype=bool))
+
+    def most(q, ids, sims):
+        seen.add(sims.size)
+        return q.assign(n=sims.size)[["q_id", "n"]]
+
+    rows = vectors._meet(probes, cells, q_tiles, most, "q_id long, n long").collect()
+    assert len(rows) == 200 and max(r.n for r in rows) <= 500 and seen.value == 200 * 200
