@@ -81,6 +81,32 @@ def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+#: Bits of a bitmap that goes to every task (2 MB), and of one of its rows.
+BITMAP_BITS, BITMAP_ROW = 1 << 24, 1 << 15
+
+
+def with_hint(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false where ``key`` is not among the wanted keys, nulls included; true may be a mistake.
+
+    The wanted keys lie in a bitmap of their digests, of the same size however many they are. So rows that can't be wanted
+    are told apart without a shuffle.
+    """
+    tag = "_" * max(map(len, rows.columns))  # longer than any name of the rows
+    slot, row, bits = "slot" + tag, "row" + tag, "bits" + tag
+    slot_of = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+    row_of = F.floor(F.col(slot) / BITMAP_ROW).alias(row)
+    bitmaps = wanted.select(slot_of(wanted_key).alias(slot)).groupBy(row_of).agg(F.bitmap_construct_agg(F.col(slot) % BITMAP_ROW).alias(bits))
+    byte = F.substring(F.col(bits), F.floor(F.col(slot) % BITMAP_ROW / 8).cast("int") + 1, F.lit(1))
+    marked = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr(f"shiftleft(1, CAST({slot} % 8 AS INT))")) != 0
+    met = rows.withColumn(slot, slot_of(key)).select("*", row_of).join(F.broadcast(bitmaps), row, "left")
+    return met.withColumn(name, F.coalesce(marked, F.lit(False))).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
+def perhaps_among(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among the wanted keys; an exact join has to follow."""
+    return with_hint(rows, key, wanted, wanted_key, "_perhaps").where("_perhaps").drop("_perhaps")
+
+
 def arrow_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=schema.field(k).type) for k, v in columns.items()],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, ids_and_texts, process_memo, stored
+from .common import forget, ids_and_texts, perhaps_among, process_memo, stored
 from .components import components
 
 #: Words a worker remembers before it starts anew; changes speed only.
@@ -185,6 +185,59 @@ def placed(members: DataFrame, groups: DataFrame) -> DataFrame:
     return out
 
 
+def in_blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """Members of a bucket in blocks of bounded size, once for every pair (low, high) of blocks, so a group holds two at most."""
+    sizes = members.groupBy("band", "key").agg(F.expr(f"CAST(ceil(count(1) / {BLOCK}) AS INT)").alias("parts"))
+    parts = members.join(sizes, ["band", "key"])
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    return parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
+        "band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class",
+        "component", "signature", *columns)
+
+
+def surviving(key: tuple, table: pa.Table, need: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(-matches, i, j) of the pairs of two blocks across components that survive the comparison of signatures; components.
+
+    A pair that shares several buckets is looked at in that of its first band only.
+    """
+    band, low, high = key[0].as_py(), key[2].as_py(), key[3].as_py()
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(table.num_rows, -1)
+    part = table.column("part").to_numpy()
+    component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
+    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    found = []
+    for i in left:
+        j = right[(right > i) if low == high else slice(None)]
+        j = j[component[j] != component[i]]
+        matches = np.zeros(len(j), int)
+        for at in range(0, BANDS * ROWS, BATCH):
+            matches = matches + (sig[j, at:at + BATCH] == sig[i, at:at + BATCH]).sum(axis=1)
+            alive = matches >= need[at + BATCH]
+            j, matches = j[alive], matches[alive]
+            if not len(j):
+                break
+        before = (sig[j, :band * ROWS] == sig[i, :band * ROWS]).reshape(len(j), band, ROWS).all(axis=2).any(axis=1)
+        j, matches = j[~before], matches[~before]
+        found += zip((-matches).tolist(), [int(i)] * len(j), j.tolist())
+    return found, component
+
+
+def likely_across(members: DataFrame, need: np.ndarray) -> DataFrame:
+    """Those of ``members`` (band, key, class, component, signature) that are in a surviving pair of their bucket.
+
+    Only signatures travel; the sets are many times as large, and few members need theirs.
+    """
+
+    def group(key, table):
+        found, _ = surviving(key, table, need)
+        rows = np.unique(np.array([(i, j) for _, i, j in found], np.int64))
+        return table.select(["band", "key", "class", "component", "signature"]).take(pa.array(rows, pa.int64()))
+
+    shape = "band INT, key BIGINT, class BINARY, component BINARY, signature BINARY"
+    rows = in_blocks(members).groupBy("band", "key", "low", "high").applyInArrow(group, shape)
+    return rows.dropDuplicates(["band", "key", "class"])
+
+
 def across(members: DataFrame, need: np.ndarray, percent: int) -> DataFrame:
     """Links (a, b) that join different components within a bucket.
 
@@ -192,31 +245,9 @@ def across(members: DataFrame, need: np.ndarray, percent: int) -> DataFrame:
     blocks is one group, so a group holds two blocks at most. Pairs that survive the comparison of signatures are
     verified in place, likeliest first, unless links found before have joined their components; pairs never leave.
     """
-    sizes = members.groupBy("band", "key").agg(F.expr(f"CAST(ceil(count(1) / {BLOCK}) AS INT)").alias("parts"))
-    parts = members.join(sizes, ["band", "key"])
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    dealt = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class",
-        "component", "signature", "shingles")
 
     def group(key, table):
-        low, high = key[2].as_py(), key[3].as_py()
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(table.num_rows, -1)
-        part = table.column("part").to_numpy()
-        component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
-        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        found = []
-        for i in left:
-            j = right[(right > i) if low == high else slice(None)]
-            j = j[component[j] != component[i]]
-            matches = np.zeros(len(j), int)
-            for at in range(0, BANDS * ROWS, BATCH):
-                matches = matches + (sig[j, at:at + BATCH] == sig[i, at:at + BATCH]).sum(axis=1)
-                alive = matches >= need[at + BATCH]
-                j, matches = j[alive], matches[alive]
-                if not len(j):
-                    break
-            found += zip((-matches).tolist(), [int(i)] * len(j), j.tolist())
+        found, component = surviving(key, table, need)
         root = list(range(int(component.max()) + 1 if len(component) else 0))
 
         def top(c):
@@ -236,7 +267,7 @@ def across(members: DataFrame, need: np.ndarray, percent: int) -> DataFrame:
         name = table.column("class")
         return pa.table({"a": name.take(pa.array(out_a, pa.int64())), "b": name.take(pa.array(out_b, pa.int64()))})
 
-    return dealt.groupBy("band", "key", "low", "high").applyInArrow(group, "a BINARY, b BINARY")
+    return in_blocks(members, "shingles").groupBy("band", "key", "low", "high").applyInArrow(group, "a BINARY, b BINARY")
 
 
 def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -273,7 +304,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 256)
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(class, shingles) for wanted (class, first_id), from the texts of these documents."""
-    rows = ids_and_texts(docs, id_col, text_col)
+    rows = perhaps_among(ids_and_texts(docs, id_col, text_col), "id", wanted, "first_id")
     texts = rows.join(wanted.withColumnRenamed("class", "wanted"), F.col("id").eqNullSafe(F.col("first_id")))
 
     def run(batches):
@@ -314,25 +345,26 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, miss: float
     weights = meetings.groupBy("class").agg(F.sum("n").alias("weight"))
     members = stored(meetings.join(weights, "class").select("band", "key", "class", "weight"), "members")
     forget(meetings)
-    involved = stored(classes.join(members.select("class").distinct(), "class").select("class", "first_id"), "involved")
-    sets = stored(sets_of(docs, involved, words, id_col, text_col), "sets")
-    forget(involved)
+    # Of the signatures only those of classes in a shared bucket are joined again.
+    involved = stored(classes.join(members.select("class").distinct(), "class"), "involved")
+    sets = stored(sets_of(docs, involved.select("class", "first_id"), words, id_col, text_col), "sets")
 
     # Stars: each member with its bucket's head, then those the head hasn't reached with the head among them.
-    pairs = stored(prune(stars(members), classes, need), "pairs")
+    pairs = stored(prune(stars(members), involved, need), "pairs")
     links = stored(verified(pairs, sets, percent), "links")
     forget(pairs)
     reached = components(links)
     rest = placed(members, reached)
-    pairs = stored(prune(stars(rest.where("component <> head_component").select("band", "key", "class", "weight")), classes, need), "pairs")
+    pairs = stored(prune(stars(rest.where("component <> head_component").select("band", "key", "class", "weight")), involved, need), "pairs")
     before, links = links, stored(links.unionByName(verified(pairs, sets, percent)), "links")
     forget(rest, pairs, before)
     # What buckets still hold several components: all that lies across them.
     reached = components(links)
     rest = placed(members, reached)
-    still = rest.select("band", "key", "class", "component").join(classes.select("class", "signature"), "class").join(sets, "class")
-    before, links = links, stored(links.unionByName(across(still, need, percent)), "links")
-    forget(before, members, rest, sets)
+    still = rest.select("band", "key", "class", "component").join(involved.select("class", "signature"), "class")
+    near = stored(likely_across(still, need), "near")
+    before, links = links, stored(links.unionByName(across(near.join(sets, "class"), need, percent)), "links")
+    forget(before, members, rest, sets, involved, near)
     final = components(links)
 
     named = final.join(classes.select(F.col("class").alias("node"), "first_id"), "node")

@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from matchflow.llm import forest, minhash, near_vectors
+from matchflow.llm import common, forest, minhash, near_vectors
 from matchflow.llm.components import components
 
 from .conftest import ODD
@@ -80,6 +81,37 @@ def test_null_id_beside_a_copy_with_id(make_docs):
     assert got == {None: (3, False), 3: (3, True)}
 
 
+def test_bitmap_of_keys_misses_none_and_few_others(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.col("id").alias("slot"))
+    wanted = rows.where("id % 100 = 7 OR id IS NULL").select(F.col("id").alias("first_id"))
+    got = common.with_hint(rows, "id", wanted, "first_id", "hint")
+    assert got.columns == ["id", "slot", "hint"]
+    assert got.count() == 40_000
+    marked = {r["slot"] for r in got.where("hint").collect()}
+    sure = {0} | {n for n in range(40_000) if n % 100 == 7}
+    assert sure <= marked and len(marked) < len(sure) + 40
+    assert common.perhaps_among(rows, "id", wanted.limit(0), "first_id").count() == 0
+
+
+def test_only_members_of_surviving_pairs_get_their_sets_and_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    factors = minhash.multipliers(minhash.BANDS * minhash.ROWS)
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = {b"a": base, b"b": np.append(base[:90], np.arange(500, 505, dtype=np.uint64)), b"c": base}
+    sets |= {b"x%d" % n: base * np.uint64(1000 * (n + 1)) for n in range(10)}
+    sigs = {name: minhash.signature(s, factors) for name, s in sets.items()}
+    shared = [n for n in range(minhash.BANDS) if (sigs[b"a"][n * 5:n * 5 + 5] == sigs[b"b"][n * 5:n * 5 + 5]).all()]
+    assert len(shared) > 1
+    rows = [(band, 5, name, b"a" if name == b"c" else name, bytearray(s.tobytes())) for name, s in sigs.items() for band in shared]
+    members = spark.createDataFrame(rows, "band int, key long, class binary, component binary, signature binary")
+    need = minhash.least_matches(0.8, 1e-4)
+    near = minhash.likely_across(members, need)
+    assert sorted((r["band"], bytes(r["class"])) for r in near.collect()) == [(shared[0], b"a"), (shared[0], b"b"), (shared[0], b"c")]
+    texts = spark.createDataFrame([(bytearray(name), bytearray(np.sort(s).tobytes())) for name, s in sets.items()], "class binary, shingles binary")
+    whole, some = ({frozenset((bytes(r["a"]), bytes(r["b"]))) for r in minhash.across(m.join(texts, "class"), need, 80).collect()} for m in (members, near))
+    assert whole and some and all(b"b" in pair for pair in whole | some)
+
+
 def test_pruning_table():
     need = minhash.least_matches(0.8, 1e-4)
     assert need[150] < 120 and need[30] < 24 and (np.diff(need) >= 0).all()
