@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from matchflow.llm import language, minhash, packing, quality
-from matchflow.llm.common import keyed, stored
+from matchflow.llm.common import keyed, stored, with_hint
 from matchflow.plans.views import table
 
 #: Documents whose language is less certain than that go.
@@ -59,7 +59,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key)
     kept = ranked.groupBy("component_id").agg(F.min(order).alias("first"), F.min_by("digest", order).alias("digest"))
     kept = kept.groupBy("first.no_id", "first.doc_id", "digest").agg(F.min(f"first.{key}").alias(key)).select(key)
-    return rows.join(stored(kept, "kept"), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stored(ranked.select(key).join(kept, key, "left_anti"), "gone")
+    # Most texts stay, and a text that is surely not gone need not move to a join.
+    hint = key + "hint"
+    hinted = with_hint(rows, key, gone, key, hint)
+    stay = hinted.where(f"NOT {hint}").unionByName(hinted.where(hint).join(gone, key, "left_anti"))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

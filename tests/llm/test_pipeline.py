@@ -78,3 +78,13 @@ def test_any_column_names(spark):
             assert out.columns == marked.columns
             rows = out.collect()
             assert rows and all(r[name] == f"{name} {r['doc_id']}" for r in rows for name in extra)
+
+
+def test_texts_that_stay_are_not_joined(spark, tmp_path):
+    text = " ".join(f"w{n}" for n in range(60))
+    rows = [(n, text if n % 2 == 0 else f"other {n} " * 20, f"s{n}") for n in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, slot string").write.parquet(str(tmp_path / "docs"))
+    made = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert "Union" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.columns == ["doc_id", "text", "slot"]
+    assert sorted((r["doc_id"], r["slot"]) for r in made.collect()) == [(0, "s0"), (1, "s1"), (3, "s3"), (5, "s5"), (7, "s7")]
