@@ -9,6 +9,7 @@ import public_tokenizers
 from matchflow.llm import language, minhash, packing, quality
 from matchflow.llm.common import keyed, stored, with_hint
 from matchflow.plans.views import table
+from matchflow.session import apply_settings
 
 #: Documents whose language is less certain than that go.
 LEAST_CERTAIN = 0.5
@@ -30,6 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no letter. Repeated rows share their fate; very long texts are read whole; an empty table
     stays empty. Columns of any name stay as they are.
     """
+    apply_settings(spark)
     found = language.predicted(parted(docs), language.fit(docs))
     return whole(found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)), docs.columns)
 
@@ -40,6 +42,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are scored by features of zero. Repeated rows share their fate; very long texts are read whole;
     an empty table stays empty; without any labelled document all stay. Columns of any name stay as they are.
     """
+    apply_settings(spark)
     vectors = quality.word_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     net = quality.fit_documents(docs, vectors, table(spark, sf_dir, "labels"))
     return whole(quality.scored_documents(parted(docs), vectors, net).where("predicted = 1"), docs.columns)
@@ -51,6 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by their place, so ids may be repeated or null. Rows that share id and text are one, so null and
     empty texts, which are copies of nothing, stay once for each id. An empty table stays empty; columns of any name stay.
     """
+    apply_settings(spark)
     key = "place" + "_" * max(map(len, docs.columns))
     rows = keyed(docs, key)
     groups = minhash.near_copies(rows.select(key, "text"), words=5, id_col=key).select(key, "component_id")
@@ -69,6 +73,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as pieces in sequences of at most 4096 tokens."""
+    apply_settings(spark)
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

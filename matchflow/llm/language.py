@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import process_memo
+from .common import process_memo, trim_memory
 
 FEATURES = 1 << 15
 UNKNOWN = "und"
@@ -213,5 +213,6 @@ def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())],
                 [*batch.schema.names, "lang_pred", "score"])
+        trim_memory()
 
     return kept.mapInArrow(run, StructType(kept.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

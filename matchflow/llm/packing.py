@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, process_memo, stored
+from .common import ids_and_texts, process_memo, stored, trim_memory
 
 #: Words a worker remembers of late, and as many of before; changes speed only.
 REMEMBERED = 250_000
@@ -197,7 +197,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
             at = 0
             while at < batch.num_rows:
                 stop, some = at, 0
-                while stop < batch.num_rows and (stop == at or some < 2_000_000):  # some MB of text at a time
+                while stop < batch.num_rows and (stop == at or some < 1_000_000):  # about a MB of text at a time
                     some += len(texts[stop].as_py())
                     stop += 1
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
@@ -219,6 +219,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
                            pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names)
                 at = stop
+        trim_memory()
 
     extra = ", ids BINARY" if keep_ids else ""
     out = rows.mapInArrow(run, f"id {kind}, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT{extra}")

@@ -88,3 +88,18 @@ def test_texts_that_stay_are_not_joined(spark, tmp_path):
     assert "Union" in made._jdf.queryExecution().optimizedPlan().toString()
     assert made.columns == ["doc_id", "text", "slot"]
     assert sorted((r["doc_id"], r["slot"]) for r in made.collect()) == [(0, "s0"), (1, "s1"), (3, "s3"), (5, "s5"), (7, "s7")]
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    session = spark.newSession()
+    corpus_pipeline.pack(session, session.createDataFrame([], "doc_id BIGINT, text STRING"), SF)  # any stage, also as the first of its session
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = session.range(0, 6000, 1, 1).select(F.repeat(F.lit("abc "), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    found = texts.mapInArrow(sizes, "n LONG, size LONG").collect()
+    assert sum(r["n"] for r in found) == 6000
+    assert max(r["size"] for r in found) < 8 << 20
