@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from matchflow.operators import keywords, rewrite
+from matchflow.operators import analysis, keywords, rewrite
 from matchflow.operators.profiles import build_profiles
 from matchflow.session import OPEN_SETTINGS, apply_settings
 
@@ -34,3 +34,16 @@ def test_share_of_a_task_is_set_where_it_is_open(spark):
     assert apply_settings(other).conf.get(key) == "8m"
     other.conf.unset(key)
     assert apply_settings(other).conf.get(key) == "16m"
+
+
+def test_pairs_are_scored_from_profiles_parsed_once(spark):
+    """Parsing is most of the work; what several steps read of a profile is stored."""
+    texts = spark.createDataFrame([(1, "Ann Lee WORK EXPERIENCE Brick Works, Portland, OR Data Analyst Jan 2010 - Present • Built it TECHNICAL SKILLS SQL")],
+                                  "profile_id long, raw_text string")
+    people = build_profiles(texts)
+    jobs = spark.createDataFrame([(7, "A Data Analyst with SQL and Java for Brick Works")], "posting_id long, description string")
+    pairs = spark.createDataFrame([(7, 1)], "posting_id long, profile_id long")
+    for made in (keywords.experience_overlap(pairs, jobs, people), analysis.match_scores(pairs, jobs, people), analysis.analyse(pairs, jobs, people)):
+        assert "raw_text" not in plan(made)
+        assert made.count() == 1
+    assert keywords.experience_overlap(pairs, jobs, people).first()["experience_score"] == 20.0
