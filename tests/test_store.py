@@ -90,6 +90,33 @@ def test_constraint_report_names_every_rule(spark):
                                            ("range", "5.0", 1), ("range", "-1.0", 1)], key=str)
 
 
+def test_constraint_query_reports_every_broken_rule_and_lost_parents(spark, tmp_path):
+    """The registered query against its own SQL on rows that break each rule once."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    made = {
+        "customer": ([(1,), (2,)], "c_custkey long"),
+        "orders": ([(10, 1, T0, "LOW"), (10, 2, T0, "LOW"), (11, 7, T0, "LOW"), (12, None, T0, "LOW"), (13, 1, None, "LOW"), (14, 2, T1, "much too long")],
+                   "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": ([(10, 1, 0.01), (99, 1, 0.02), (99, 2, 0.02), (None, 1, 0.03), (11, 1, -0.25), (12, 1, 0.5)],
+                     "l_orderkey long, l_linenumber int, l_discount double"),
+        "labels": ([(1,), (5,)], "doc_id long"),
+        "embeddings": ([(1,)], "vec_id long"),
+    }
+    con = duckdb.connect()
+    for name, (data, layout) in made.items():
+        spark.createDataFrame(data, layout).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in entry.queries()["constraint_report"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("orders", "unique", "o_orderkey", "10", 2), ("orders", "not_null", "o_custkey", None, 1), ("orders", "not_null", "o_orderdate", None, 1),
+        ("orders", "foreign", "o_custkey", "7", 1), ("orders", "max_length", "o_orderpriority", "13", 1), ("lineitem", "foreign", "l_orderkey", "99", 2),
+        ("lineitem", "range", "l_discount", "-0.25", 1), ("lineitem", "range", "l_discount", "0.5", 1), ("labels", "foreign", "doc_id", "5", 1)], key=str)
+    assert sorted(got, key=str) == sorted(con.execute(entry.oracle_sql()["constraint_report"]).fetchall(), key=str)
+
+
 def test_table_stats_of_an_empty_table(spark):
     out = store.table_stats({"t": spark.createDataFrame([], "a int")}).first()
     assert (out["rows"], out["nulls"], out["null_rate"]) == (0, 0, 0.0)
