@@ -105,3 +105,30 @@ def test_full_score_and_other_advice(spark):
 def test_one_missing_skill_and_missing_education(spark):
     row = analysed(spark, "sql, education", ("saved $5", [], [("A", None)], [], "s", "e@x"))
     assert row.improvement_suggestions == [fixed.SUGGEST_ONE_SKILL % "sql", fixed.SUGGEST_EDUCATION, fixed.SUGGEST_LONGER, fixed.SUGGEST_CUSTOMISE]
+
+
+def odd_pairs(spark):
+    """Texts that are null, empty or without words, a profile that comes twice, and more than thirty terms."""
+    text = "python sql " + " ".join(a + b for a in ("alpha", "beta", "gamma", "delta", "omega", "kappa") for b in ("one", "two", "three", "four", "five", "six", "nine"))
+    jobs = spark.createDataFrame([(1, text + " degree kappanine kappanine"), (2, ""), (3, None), (4, "the and of"), (5, "java, alphaone")], "posting_id long, description string")
+    who = (["python"], [("Acme", "Engineer")], [("MIT",)], None, "e@x")
+    people = spark.createDataFrame([(1, "Alphaone betatwo sql", *who), (2, "kappanine in a long sentence", *who), (2, "python", *who), (3, "", *who), (4, None, *who)], PROFILE)
+    pairs = spark.createDataFrame([(a, b) for a in range(1, 6) for b in range(1, 5)], "posting_id long, profile_id long")
+    return pairs, jobs, people
+
+
+def test_words_of_a_pair_travel_as_one_string_and_give_the_same_rows(spark):
+    pairs, jobs, people = odd_pairs(spark)
+    rows = analysis.analyse(pairs, jobs, people)
+    moved = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS experience_score" in line]
+    assert moved and not any(name in line for line in moved for name in ("p_terms#", "p_words#", "p_list#"))
+    got = {(r.posting_id, r.profile_id): r.keyword_suggestions for r in rows.collect()}
+    terms = {r.posting_id: r.terms for r in jobs.select("posting_id", keywords.top_term_list("description", 30).alias("terms")).collect()}
+    assert len(terms[1]) == 30 and terms[1][0] == "kappanine"
+    texts = {1: "alphaone betatwo sql", 3: ""}
+    for (job, person), found in got.items():
+        if person in texts:
+            assert found == (None if terms[job] is None else [t for t in terms[job] if t not in texts[person]][:10])
+    assert got[1, 4] == [] and got[2, 1] == [] and got[4, 1] == []
+    scores = lambda df, c: sorted({(r.posting_id, r.profile_id, None if r[c] is None else float(r[c])) for r in df.collect()}, key=str)
+    assert scores(rows, "match_score") == scores(analysis.match_scores(pairs, jobs, people), "match_score")
