@@ -132,3 +132,17 @@ def test_words_of_a_pair_travel_as_one_string_and_give_the_same_rows(spark):
     assert got[1, 4] == [] and got[2, 1] == [] and got[4, 1] == []
     scores = lambda df, c: sorted({(r.posting_id, r.profile_id, None if r[c] is None else float(r[c])) for r in df.collect()}, key=str)
     assert scores(rows, "match_score") == scores(analysis.match_scores(pairs, jobs, people), "match_score")
+
+
+def test_suggestions_are_those_of_the_analysis_without_its_search_of_terms(spark, monkeypatch):
+    pairs, jobs, people = odd_pairs(spark)
+    each = analysis.analyse(pairs, jobs, people).select("posting_id", "profile_id", F.posexplode("improvement_suggestions").alias("position", "text"))
+    want = sorted(map(tuple, each.collect()))
+
+    def search(*_):
+        raise AssertionError("suggestions need no terms")
+
+    monkeypatch.setattr(analysis, "found_terms", search)
+    made = analysis.suggestions(pairs, jobs, people)
+    assert made.columns == each.columns and sorted(map(tuple, made.collect())) == want and want
+
